@@ -1,0 +1,234 @@
+"""Token ids of the public word-level BPE vocabulary, many words at a time.
+
+`tokenizers` spends most of its time on words it has not met; here the merges of all new words of a batch run together
+in numpy. Only runs of printable ASCII and Latin-1 take this way; every other run is encoded by `tokenizers` itself,
+and the tests hold both against it.
+"""
+
+from __future__ import annotations
+
+import json
+import re
+from functools import lru_cache
+
+import numpy as np
+import regex
+from tokenizers import Tokenizer
+
+#: The vocabulary's own word pattern, over printable ASCII and Latin-1 in lower case.
+WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^ \\na-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+SIMPLE = re.compile("[ \\n!-~¡-ÿ]*")
+ODD = "\0"
+NONE = np.int32(2**31 - 1)
+SEGMENT = 2_000_000
+WIDTHS = (6, 9, 12, 16, 24, 48)
+
+
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Indices of the concatenated ranges starts[i] .. starts[i] + lengths[i]."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def byte_symbols() -> list[str]:
+    """The character that stands for each byte: itself if printable, else the next free one from 256."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b if b in shown else next(spare)) for b in range(256)]
+
+
+class Merges:
+    """rank and merged id of a pair of ids, looked up in an open-addressed table."""
+
+    BITS = 20
+
+    def __init__(self, pairs: np.ndarray, merged: np.ndarray) -> None:
+        self.merged = merged
+        self.keys = np.full(1 << self.BITS, -1, np.int64)
+        self.ranks = np.full(1 << self.BITS, NONE, np.int32)
+        keys, todo, probe = pairs[:, 0] << 16 | pairs[:, 1], np.arange(len(pairs)), 0
+        while len(todo):
+            at = self.slot(keys[todo], probe)
+            free = self.keys[at] < 0
+            self.keys[at[free]], self.ranks[at[free]] = keys[todo[free]], todo[free]
+            todo, probe = todo[self.keys[at] != keys[todo]], probe + 1
+
+    def slot(self, keys: np.ndarray, probe: int) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.BITS)).view(np.int64) + probe) & ((1 << self.BITS) - 1)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """NONE where the pair has no merge; padding is -1 and has none."""
+        keys = (a.astype(np.int64) << 16 | b).ravel()
+        at = self.slot(keys, 0)
+        found = self.keys[at]
+        out = np.where((found == keys) & (keys >= 0), self.ranks[at], NONE)
+        todo, probe = np.flatnonzero((found != keys) & (found >= 0) & (keys >= 0)), 1
+        while len(todo):
+            at = self.slot(keys[todo], probe)
+            found = self.keys[at]
+            hit = found == keys[todo]
+            out[todo[hit]] = self.ranks[at[hit]]
+            todo, probe = todo[~hit & (found >= 0)], probe + 1
+        return out.reshape(a.shape)
+
+
+class Known(dict):
+    """Numbers its keys; new ones are listed."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = at = len(self)
+        self.new.append(word)
+        return at
+
+
+class WordBpe:
+    """encode(texts) gives an array of ids for each text, equal to that of `tokenizers` without special tokens."""
+
+    def __init__(self, path: str, remembered: int = 400_000) -> None:
+        self.plain, self.remembered = Tokenizer.from_file(path), remembered
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        ids = model["vocab"]
+        pairs = [p if isinstance(p, list) else p.split(" ") for p in model["merges"]]
+        self.inner = np.array([ids[c] for c in byte_symbols()], np.int32)
+        self.last = np.array([ids[c + "</w>"] for c in byte_symbols()], np.int32)
+        self.merges = Merges(np.array([(ids[a], ids[b]) for a, b in pairs], np.int64), np.array([ids[a + b] for a, b in pairs], np.int32))
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = Known()
+        self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths and flat ids of words, merged in rank order, all words of about one length together."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        raw, at = np.frombuffer(b"".join(words) + bytes(1), np.uint8), np.cumsum(sizes) - sizes
+        lengths, done = np.zeros(len(words), np.int64), []
+        least = 0
+        for n in [w for w in WIDTHS if w < sizes.max()] + [int(sizes.max())]:
+            rows = np.flatnonzero((sizes > least) & (sizes <= n))
+            least = n
+            if not len(rows):
+                continue
+            own, columns = sizes[rows], np.arange(n)
+            letters = raw[np.minimum(at[rows][:, None] + columns, len(raw) - 1)]
+            s = np.where(columns < own[:, None], self.inner[letters], np.int32(-1))
+            s[np.arange(len(s)), own - 1] = self.last[letters[np.arange(len(s)), own - 1]]
+            r = self.merges.rank(s[:, :-1], s[:, 1:])
+            while True:
+                if s.shape[1] > 1:
+                    best = r.argmin(1)
+                    rank = r[np.arange(len(r)), best]
+                    over = rank == NONE
+                else:
+                    over = np.ones(len(s), bool)
+                if over.any():
+                    done.append((rows[over], s[over]))
+                    lengths[rows[over]] = own[over]
+                    if over.all():
+                        break
+                    go = ~over
+                    rows, own, s, r, best, rank = rows[go], own[go], s[go], r[go], best[go], rank[go]
+                w, one, own = s.shape[1], np.arange(len(s)), own - 1
+                columns = np.arange(w - 1)
+                s = np.take_along_axis(s, columns + (columns > best[:, None]), 1)
+                s[one, best] = self.merges.merged[rank]
+                if w > 2:
+                    r = np.take_along_axis(r, columns[:-1] + (columns[:-1] >= best[:, None]), 1)
+                    left, right = np.flatnonzero(best > 0), np.flatnonzero(best < w - 2)
+                    p, q = best[left], best[right]
+                    r[left, p - 1] = self.merges.rank(s[left, p - 1], s[left, p])
+                    r[right, q] = self.merges.rank(s[right, q], s[right, q + 1])
+        flat, at = np.zeros(lengths.sum(), np.int32), np.cumsum(lengths) - lengths
+        for rows, s in done:
+            real = s >= 0
+            flat[(at[rows][:, None] + np.arange(s.shape[1]))[real]] = s[real]
+        return lengths, flat
+
+    def learn(self) -> None:
+        """Adds the ids of the words that are new."""
+        new, self.known.new = self.known.new, []
+        odd = [w[0] == ODD or len(w) > 64 for w in new]
+        plain = [w.encode() for w, x in zip(new, odd, strict=True) if not x]
+        lengths, starts = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        flat = np.zeros(0, np.int32)
+        simple = ~np.array(odd, bool)
+        if plain:
+            lengths[simple], flat = self.merge(plain)
+            starts[simple] = np.cumsum(lengths[simple]) - lengths[simple]
+        for k in np.flatnonzero(~simple).tolist():
+            own = np.array(self.plain.encode(new[k].removeprefix(ODD), add_special_tokens=False).ids, np.int32)
+            starts[k], lengths[k] = len(flat), len(own)
+            flat = np.concatenate([flat, own])
+        self.starts = np.concatenate([self.starts, starts + len(self.flat)])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.flat = np.concatenate([self.flat, flat])
+
+    def words(self, text: str) -> list[str]:
+        """The words of a text; a run between spaces with other characters stays whole, marked as odd."""
+        if SIMPLE.fullmatch(text) and "<|" not in text:
+            return WORDS.findall(text.lower())
+        out = []
+        for run in text.replace("\n", " ").split(" "):
+            if SIMPLE.fullmatch(run) and "<|" not in run:
+                out += WORDS.findall(run.lower())
+            else:
+                out.append(ODD + run)
+        return out
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Texts are joined into segments of about a million characters and longer ones cut at a space or newline, so that memory stays bounded."""
+        out: list[np.ndarray] = []
+        k = 0
+        while k < len(texts):
+            group, size = [], 0
+            while k < len(texts) and (not group or size + len(texts[k]) <= SEGMENT):
+                group.append(texts[k])
+                size += len(texts[k])
+                k += 1
+            if len(group) == 1 and size > SEGMENT:
+                out.append(self.long(group[0]))
+            else:
+                out += self.several(group)
+            if len(self.known) > self.remembered:
+                self.forget()
+        return out
+
+    def long(self, text: str) -> np.ndarray:
+        parts, at = [], 0
+        while at < len(text):
+            end = at + SEGMENT
+            if end < len(text):
+                end = max(text.rfind(" ", at, end), text.rfind("\n", at, end))
+                if end <= at:
+                    ends = [e for e in (text.find(" ", at + SEGMENT), text.find("\n", at + SEGMENT)) if e >= 0]
+                    end = min(ends, default=len(text))
+            parts.append(self.several([text[at:end]])[0])
+            at = end
+            if len(self.known) > self.remembered:
+                self.forget()
+        return np.concatenate(parts)
+
+    def several(self, texts: list[str]) -> list[np.ndarray]:
+        number, counts = self.known.__getitem__, []
+        parts = []
+        for text in texts:
+            words = self.words(text)
+            parts.append(np.fromiter(map(number, words), np.int64, len(words)))
+            counts.append(len(words))
+        if self.known.new:
+            self.learn()
+        at = np.concatenate(parts)
+        lengths = self.lengths[at]
+        flat = self.flat[ragged(self.starts[at], lengths)]
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts)]
+        return np.split(flat, ends[:-1])
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> WordBpe:
+    """One encoder for each Python worker."""
+    return WordBpe(path)
