@@ -193,7 +193,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows that repeat a kept id are copies: of them one stays, the one with the smallest hash.
     """
     near = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    kept = near.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    once = docs.join(kept, docs[id_col].cast("long") == F.col("_kept"), "left_semi")
+    name = fresh(docs, "kept")
+    kept = near.filter("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    once = docs.join(kept, F.col(id_col).cast("long") == F.col(name), "left_semi")
     once = once.dropDuplicates([id_col])
     return once.unionByName(docs.filter(F.col(id_col).isNull()))
