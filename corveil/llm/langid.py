@@ -54,7 +54,11 @@ class TextModel:
         at = grams(text or "")
         if not len(at) or not self.languages:
             return [0.0] * len(self.languages), len(at)
-        total = self.logs[at].sum(0, dtype=np.float64) * min(1.0, EVIDENCE / len(at))
+        if len(at) < 1 << BITS:
+            total = self.logs[at].sum(0, dtype=np.float64)
+        else:
+            total = np.bincount(at, minlength=1 << BITS) @ self.logs.astype(np.float64)
+        total *= min(1.0, EVIDENCE / len(at))
         return (total - total.max()).tolist(), len(at)
 
 

@@ -32,7 +32,7 @@ SAMPLE = 20_000
 PRIOR, DOUBT, DRIFT = 0.01, 1.64, 0.02
 LETTERS = re.compile(r"[^\W\d_]+")
 BATCH = 2_000_000
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 
 
 class Buckets(dict):
@@ -63,8 +63,10 @@ def numbered(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
             SEEN.words.clear()
             SEEN.starts.clear()
         while k < len(texts) and (k == first or size + len(texts[k]) <= BATCH):
-            words = LETTERS.findall(texts[k].lower())
-            parts.append(np.fromiter(map(SEEN.__getitem__, words), np.int64, len(words)))
+            lower = texts[k].lower()
+            # A list of the words of a text is no trouble below some millions of characters.
+            words = LETTERS.findall(lower) if len(lower) <= BATCH else (w[0] for w in LETTERS.finditer(lower))
+            parts.append(np.fromiter(map(SEEN.__getitem__, words), np.int64))
             size += len(texts[k])
             k += 1
         at = np.concatenate(parts)

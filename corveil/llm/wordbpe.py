@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import regex
@@ -87,8 +87,8 @@ class Known(dict):
 class WordBpe:
     """encode(texts) gives an array of ids for each text, equal to that of `tokenizers` without special tokens."""
 
-    def __init__(self, path: str, remembered: int = 400_000) -> None:
-        self.plain, self.remembered = Tokenizer.from_file(path), remembered
+    def __init__(self, path: str, remembered: int = 150_000) -> None:
+        self.path, self.remembered = path, remembered
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         ids = model["vocab"]
@@ -98,6 +98,11 @@ class WordBpe:
         self.merges = Merges(np.array([(ids[a], ids[b]) for a, b in pairs], np.int64), np.array([ids[a + b] for a, b in pairs], np.int32))
         self.forget()
 
+    @cached_property
+    def plain(self) -> Tokenizer:
+        """The tokenizer itself, loaded for the first odd run."""
+        return Tokenizer.from_file(self.path)
+
     def forget(self) -> None:
         self.known = Known()
         self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
