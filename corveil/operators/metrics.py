@@ -163,13 +163,13 @@ def ngram_counts(pred: Column, gold: Column, n: int) -> tuple[Column, Column]:
 def bleu(df: DataFrame, pred: str, gold: str, order: int = 4) -> DataFrame:
     """(bleu) of the corpus, 0 to 100: geometric mean of clipped n-gram precisions with the brevity penalty; white space tokens."""
     words = lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda w: w != ""))
-    sums = [words(F.col(pred)).alias("p"), words(F.col(gold)).alias("g")]
+    sums = [words(F.col(pred)).alias("_words"), words(F.col(gold)).alias("_gold_words")]
     for n in range(1, order + 1):
         m, c = ngram_counts(F.col(pred), F.col(gold), n)
         sums += [m.alias(f"m{n}"), c.alias(f"c{n}")]
     d = df.select(*sums)
     d = d.agg(*[F.sum(c).cast("double").alias(c) for c in d.columns])
     mean = sum((F.log(F.col(f"m{n}") / F.col(f"c{n}")) for n in range(2, order + 1)), F.log(F.col("m1") / F.col("c1"))) / order
-    full = F.least(F.lit(0.0), 1 - F.col("g") / F.col("p"))
+    full = F.least(F.lit(0.0), 1 - F.col("_gold_words") / F.col("_words"))
     some = F.least(*[F.col(f"m{n}") for n in range(1, order + 1)]) > 0
     return d.select(F.when(some, 100 * F.exp(mean + full)).otherwise(0.0).alias("bleu"))
