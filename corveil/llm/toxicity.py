@@ -1,11 +1,15 @@
 """Toxicity: maximum-scoring segments of token log-odds, calibrated by extreme-value statistics.
 
 1. Each word gets its log-odds between toxic and clean training texts under an informative Dirichlet prior (the
-   words' joint frequencies), shrunk by 1.64 standard deviations; a word without evidence falls back to its first four letters.
+   words' joint frequencies), shrunk by two standard deviations; odds for toxicity count from the log-odds of the classes
+   on, so that a word alone has to overturn them. A word without evidence falls back to its first four letters.
 2. A linear-time scan finds all maximal-scoring segments of a text: every disjoint passage that no extension improves.
 3. Karlin and Altschul's statistics turn a segment's score S in a text of n words into the expected number of such
    segments by chance, K n exp(-lambda S). A text's evidence is the sum of -log of that over its significant segments,
    and a logistic curve fitted on the training texts turns evidence into a probability.
+
+So that texts without significant segments rank too, the best segment of weaker odds (less doubt, classes left out)
+adds evidence, in all less than 1.
 """
 
 from __future__ import annotations
@@ -29,7 +33,8 @@ BUCKETS = (1 << WORD_BITS) + (1 << START_BITS)
 START = 4
 #: At most so many training texts of each class, those whose id has the smallest hash.
 SAMPLE = 20_000
-PRIOR, DOUBT, DRIFT = 0.01, 1.64, 0.02
+PRIOR, DOUBT, DRIFT = 0.02, 2.0, 0.02
+WEAK_PRIOR, WEAK_DOUBT, WEAK_HALF = 0.01, 1.64, 10.0
 LETTERS = re.compile(r"[^\W\d_]+")
 BATCH = 2_000_000
 REMEMBERED = 100_000
@@ -102,29 +107,39 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, r - low) for a, b, low, r in found]
 
 
+def best_segment(scores: np.ndarray) -> float:
+    """The highest sum of a segment, 0 at least: a prefix sum less the lowest before it."""
+    if not len(scores):
+        return 0.0
+    sums = np.cumsum(scores, dtype=np.float64)
+    return float(max(0.0, (sums - np.minimum.accumulate(np.concatenate([[0.0], sums[:-1]]))).max()))
+
+
 @dataclass
 class Model:
-    """scores: of each bucket, drift included; rate (lambda) and scale (K) of the extreme values; the logistic curve."""
+    """scores and weak scores of each bucket, without drift; rate (lambda) and scale (K) of the extreme values; the logistic curve."""
 
     scores: np.ndarray
+    weak: np.ndarray
     rate: float = 1.0
     scale: float = 1.0
     curve: tuple[float, float] = (0.0, 0.0)
 
-    def of_words(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        own = self.scores[words]
-        return np.where((own == 0) & (starts >= 0), self.scores[starts], own) - DRIFT
+    def of_words(self, scores: np.ndarray, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        own = scores[words]
+        return np.where((own == 0) & (starts >= 0), scores[starts], own) - DRIFT
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
-    """Shrunken log-odds with a Dirichlet prior in proportion to the joint counts; 0 where there is too little to tell."""
+def log_odds(toxic: np.ndarray, clean: np.ndarray, classes: float, share: float = PRIOR, doubt: float = DOUBT) -> np.ndarray:
+    """Shrunken log-odds with a Dirichlet prior in proportion to the joint counts, those above 0 less the classes' log-odds; 0 where there is too little to tell."""
     both = toxic + clean
-    prior, n1, n0 = PRIOR * both + 1e-9, toxic.sum(), clean.sum()
+    prior, n1, n0 = share * both + 1e-9, toxic.sum(), clean.sum()
     all_prior = prior.sum()
     a, b = toxic + prior, clean + prior
     odds = np.log(a / np.maximum(n1 + all_prior - a, 1e-9)) - np.log(b / np.maximum(n0 + all_prior - b, 1e-9))
-    sure = np.maximum(np.abs(odds) - DOUBT * np.sqrt(1 / a + 1 / b), 0)
-    return np.where(both > 0, np.clip(np.sign(odds) * sure, -4, 6), 0)
+    sure = np.maximum(np.abs(odds) - doubt * np.sqrt(1 / a + 1 / b), 0)
+    sure = np.where(odds > 0, np.maximum(sure - classes, 0), -sure)
+    return np.where(both > 0, np.clip(sure, -4, 6), 0)
 
 
 def extreme_rate(values: np.ndarray, weights: np.ndarray) -> float:
@@ -162,11 +177,12 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def training_sample(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(labelled, toxic): at most `sample` ids of each class that aren't held out; an id with both labels is toxic."""
+def training_sample(labels: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, float]:
+    """(labelled, toxic): at most `sample` ids of each class that aren't held out; an id with both labels is toxic. And the log-odds of clean to toxic among all of them, 0 at least."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).filter(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("labelled")).agg(F.max("toxic").cast("int").alias("toxic"))
     first = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("labelled"), "labelled").limit(sample) for y in (0, 1)]
-    return cut(first[0].unionByName(first[1]))
+    n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return cut(first[0].unionByName(first[1])), float(max(0.0, np.log(n.get(0, 1) / n.get(1, 1))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -175,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     Without labels of both classes every score is that of the share of toxic labels. Null texts count as empty.
     """
     context = docs.sparkSession.sparkContext
-    known = training_sample(labels, sample)
+    known, classes = training_sample(labels, sample)
     texts = docs.select(F.col(id_col).cast("long").alias("labelled"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(known), "labelled").select("toxic", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,29 +210,33 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     counts = np.zeros((2, BUCKETS))
     counts[0, found["bucket"]], counts[1, found["bucket"]] = found["clean"], found["toxic"]
     edge = 1 << WORD_BITS
-    model = Model(np.concatenate([log_odds(counts[1, part], counts[0, part]) for part in (slice(0, edge), slice(edge, None))]).astype(np.float32))
+    parts = [(counts[1, part], counts[0, part]) for part in (slice(0, edge), slice(edge, None))]
+    model = Model(*(np.concatenate([log_odds(a, b, *how) for a, b in parts]).astype(np.float32) for how in ((classes, PRIOR, DOUBT), (0.0, WEAK_PRIOR, WEAK_DOUBT))))
     if not (counts[0].any() and counts[1].any()):
         share = known.agg(F.avg("toxic")).first()[0] or 0.0
         model.curve = (float(np.log((share + 1e-3) / (1 - share + 1e-3))), 0.0)
-        model.scores[:] = 0
+        model.scores[:] = model.weak[:] = 0
         return model
     model.rate = extreme_rate(model.scores[:edge].astype(float) - DRIFT, counts[0, :edge])
     shared = context.broadcast(model)
 
-    @F.pandas_udf("n long, segments array<double>")
+    @F.pandas_udf("n long, segments array<double>, weak double")
     def segments(text: pd.Series) -> pd.DataFrame:
-        sizes, out = [], []
+        m, sizes, out, weak = shared.value, [], [], []
         for *_, counted, words, starts in numbered(text.tolist()):
-            for own in np.split(shared.value.of_words(words, starts), np.cumsum(counted)[:-1]):
+            ends = np.cumsum(counted)[:-1]
+            for own in np.split(m.of_words(m.scores, words, starts), ends):
                 sizes.append(len(own))
                 out.append([s for *_, s in maximal_segments(own)])
-        return pd.DataFrame({"n": sizes, "segments": out})
+            weak += [best_segment(own) for own in np.split(m.of_words(m.weak, words, starts), ends)]
+        return pd.DataFrame({"n": sizes, "segments": out, "weak": weak})
 
-    scored = cut(texts.select("toxic", segments("text").alias("s")).select("toxic", "s.n", "s.segments"))
+    scored = cut(texts.select("toxic", segments("text").alias("s")).select("toxic", "s.n", "s.segments", "s.weak"))
     top = F.coalesce(F.array_max("segments"), F.lit(0.0))
     chance = scored.filter("toxic = 0 and n > 0").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("n") * F.exp(-model.rate * top)).alias("e")).first()
     model.scale = chance["m"] / chance["e"] if chance["e"] else 1.0
     x = F.aggregate("segments", F.lit(0.0), lambda t, s: t + F.greatest(F.lit(0.0), model.rate * s - F.log(F.lit(model.scale) * F.greatest(F.col("n"), F.lit(1)))))
+    x = x + F.col("weak") / (F.col("weak") + WEAK_HALF)
     binned = scored.groupBy("toxic", (F.round(F.least(x, F.lit(100.0)) * 4) / 4).alias("x")).agg(F.count(F.lit(1)).alias("w")).toPandas()
     model.curve = logistic(binned["x"].to_numpy(float), binned["toxic"].to_numpy(float), binned["w"].to_numpy(float))
     return model
@@ -235,7 +255,9 @@ def scorer(docs: DataFrame, model: Model):  # noqa: ANN201
         m, texts = shared.value, ["" if t is None else t for t in text.tolist()]
         x, passages = np.zeros(len(texts)), [[] for _ in texts]
         for first, _, counted, words, starts in numbered(texts):
-            own, ends = m.of_words(words, starts), np.cumsum(counted)
+            own, ends = m.of_words(m.scores, words, starts), np.cumsum(counted)
+            weak = np.array([best_segment(w) for w in np.split(m.of_words(m.weak, words, starts), ends[:-1])])
+            x[first : first + len(weak)] = weak / (weak + WEAK_HALF)
             # Only texts with a positive word have segments.
             for k in np.unique(np.searchsorted(ends, np.flatnonzero(own > 0), "right")).tolist():
                 n, marks = int(counted[k]), None
