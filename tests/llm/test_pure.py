@@ -163,7 +163,7 @@ PAGE = """<!DOCTYPE html><html lang=en><head><title>T</title><style>p{}</style><
 
 def test_article_blocks():
     marked, blocks = html.blocks(PAGE)
-    assert marked and blocks == ["A <title>", "One two", "three", "Four five", "a", "b", "c", "d"]
+    assert marked and blocks == ["A <title>", "One two three", "Four five", "a", "b", "c", "d"]
 
 
 @settings(max_examples=100, deadline=None)
