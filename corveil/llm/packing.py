@@ -23,6 +23,8 @@ from corveil.llm.wordbpe import encoder
 CAPACITY = 4096
 #: The id that closes each document.
 CLOSE = 1
+#: So many texts are encoded at once.
+SLICE = 1000
 PLAN = "length long, first long, past long, sequence long, each long, base long"
 
 
@@ -102,7 +104,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
     """
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(tokenizer)
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             rows, piece, start, length, crc = [], [], [], [], []
             for k, ids in enumerate(words.encode(texts)):
