@@ -166,6 +166,13 @@ def test_article_blocks():
     assert marked and blocks == ["A <title>", "One two three", "Four five", "a", "b", "c", "d"]
 
 
+def test_main_and_other_articles():
+    page = "<body><div>x</div><main><p>crumbs</p><article class='has-sidebar'><p>a<article class=comment>no</article><p>b</article><article class='related-post'>r</article></main></body>"
+    assert html.blocks(page) == (True, ["a", "b"])
+    assert html.blocks("<body>x<main><div class=table-responsive>c</div><article class=comment>no</article></main>") == (True, ["c"])
+    assert html.blocks("x<p>y") == (False, ["x", "y"])
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="<>/!-=\"' abpdivscript&;#1", max_size=80))
 def test_any_html_is_read(text):
