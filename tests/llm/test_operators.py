@@ -249,6 +249,19 @@ def test_html(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_marked_pages_are_evidence_for_open_ones(spark):
+    menu = "Home About us Contact the team Careers and jobs Imprint Privacy"
+    quoted = "a sentence of eight words or more that an article has too"
+    own = " ".join(f"own{j}" for j in range(12))
+    article = lambda k, more="": f"<article><p>{' '.join(f't{k}x{j}' for j in range(12))}</p>{more}</article>"
+    # The open page shares its menu only with marked pages, one of which has it as nav; what it shares with an article stays.
+    rows = [(0, "http://host/0", f"<div>{menu}</div><div>{own}</div><div>{quoted}</div>"), (1, "http://host/1", f"<nav>{menu}</nav>{article(1, f'<p>{quoted}</p>')}"), (2, "http://host/2", f"<div>{menu}</div>{article(2)}")]
+    rows += [(3, "http://else/3", f"<div>{menu}</div><div>{own}</div>")]
+    got = {r["page_id"]: (r["text"], r["marked"]) for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == (f"{own}\n{quoted}", False) and got[3] == (f"{menu}\n{own}", False)
+    assert got[1][0] == " ".join(f"t1x{j}" for j in range(12)) + f"\n{quoted}" and got[2] == (" ".join(f"t2x{j}" for j in range(12)), True)
+
+
 def test_language(spark):
     text = {"en": "the house and the garden with the old tree", "de": "das haus und der garten mit dem alten baum", "fr": "la maison et le jardin avec le vieux arbre"}
     docs = documents(spark, [(k, f"{t} {k}", lang, "s") for k, (lang, t) in enumerate(list(text.items()) * 5)] + [(90, None, "en", "s"), (91, "", None, None)])
