@@ -49,13 +49,17 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > shingles, bitorder="little").view(np.int64)[0])
 
 
+def text_key(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row; a null text counts as empty."""
+    """(doc_id, key, fp) of every row, key a hash of its text; a null text counts as empty."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(x.as_py() or "", shingle) for x in batch.column(1)], pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([fingerprint(x.as_py() or "", shingle) for x in batch.column(2)], pa.int64())], ["doc_id", "key", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(read, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text")).mapInArrow(read, "doc_id long, key long, fp long")
 
 
 def counts(fp: Column) -> Column:
@@ -119,6 +123,8 @@ def near_pairs(left: np.ndarray, right: np.ndarray, reach: int) -> tuple[np.ndar
 
 def links(fps: DataFrame, reach: int = REACH, block: int = BLOCK) -> DataFrame:
     """(a, b): links between distinct fingerprints that connect all fingerprints within reach, without the links that close a circle in a task."""
+    if not 0 <= reach <= REACH:
+        raise ValueError(f"the grid finds all pairs within {REACH} bits, not {reach}")
     paired = block_pairs(cells(fps), "cell", "fp", block)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,6 +176,17 @@ def links(fps: DataFrame, reach: int = REACH, block: int = BLOCK) -> DataFrame:
     return paired.repartition("cell", "left", "right").sortWithinPartitions("cell", "left", "right").mapInArrow(compare, "a long, b long")
 
 
+def grouped(docs: DataFrame, shingle: int, reach: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, key, fp, component, component_id) of every row; component is a fingerprint of its component."""
+    rows = cut(fingerprints(docs, shingle, id_col, text_col))
+    classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    near = components(links(classes.select("fp"), reach)).select(F.col("node").alias("fp"), "component")
+    # By component, the smallest id of its classes; classes without links are their own.
+    named = classes.join(near, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return rows.join(named.join(least, "component").select("fp", "component", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, reach: int = REACH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) of every row.
 
@@ -177,24 +194,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, reach: int = REACH, id_co
     the fingerprint 0 and link like any others. Null ids don't count as the smallest; a component of null ids only has
     a null id. Rows with the same id are rows of their own. An empty table gives an empty one.
     """
-    rows = cut(fingerprints(docs, shingle, id_col, text_col))
-    classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    near = components(links(classes.select("fp"), reach)).select(F.col("node").alias("fp"), "component")
-    # By component, the smallest id of its classes; classes without links are their own.
-    named = classes.join(near, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    return grouped(docs, shingle, reach, id_col, text_col).select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of its component, once each, with all their columns; null ids stay.
+    """Of each component the row with the smallest id, with all its columns; null ids stay.
 
-    Rows that repeat a kept id are copies: of them one stays, the one with the smallest hash.
+    Of rows with that id in the component, the text with the smallest hash stays; rows that repeat a kept id and text
+    are copies, of which any one stays. An id whose texts are in several components may stay in each.
     """
-    near = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    name = fresh(docs, "kept")
-    kept = near.filter("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
-    once = docs.join(kept, F.col(id_col).cast("long") == F.col(name), "left_semi")
-    once = once.dropDuplicates([id_col])
+    name, key = fresh(docs, "kept"), fresh(docs, "key")
+    near = grouped(docs, 3, REACH, id_col, text_col).filter("doc_id = component_id")
+    kept = near.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("k")).select(F.col("k.doc_id").alias(name), F.col("k.key").alias(f"{key}_"))
+    once = docs.withColumn(key, text_key(text_col))
+    once = once.join(kept, (F.col(id_col).cast("long") == F.col(name)) & (F.col(key) == F.col(f"{key}_")), "left_semi")
+    once = once.dropDuplicates([id_col, key]).drop(key)
     return once.unionByName(docs.filter(F.col(id_col).isNull()))

@@ -190,6 +190,18 @@ def test_simhash(spark, monkeypatch):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_keep_first_of_repeated_ids(spark):
+    long = " ".join(f"a{k}" for k in range(60))
+    rows = [(1, long, "en", "a"), (1, "entirely other words", "en", "a"), (1, long, "en", "b"), (2, long.upper(), "en", "a"), (3, "a third text", "en", "a")]
+    kept = sorted((r["doc_id"], r["text"]) for r in simhash.keep_first(documents(spark, rows)).collect())
+    assert kept == [(1, long), (1, "entirely other words"), (3, "a third text")]
+
+
+def test_simhash_rejects_what_its_grid_misses(spark):
+    with pytest.raises(ValueError):
+        simhash.near_duplicates(documents(spark, some()), reach=4)
+
+
 @pytest.mark.parametrize("block", [1024, 7])
 def test_embeddings(spark, block):
     rng = np.random.default_rng(4)
