@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from corveil.llm.common import cut, fresh
 
 BITS = 14
-#: A language counts if it labels at least this share of the labelled documents, so that there are at most 100.
-LEAST_SHARE = 0.01
+#: The share of all languages' 4-grams in the probabilities of each, which is all that a language has for 4-grams that it lacks.
+BACKGROUND = 0.1
+#: A task counts so many languages at once.
+HELD = 64
 #: A text counts as at most so many independent 4-grams, since neighbours overlap.
 EVIDENCE = 60.0
 SMOOTH, HOST_WEIGHT = 0.5, 8.0
@@ -44,49 +46,73 @@ def grams(text: str) -> np.ndarray:
 
 @dataclass
 class TextModel:
-    """logs: for each bucket, the log-probability in each language."""
+    """The log-probability of a bucket in a language, less the log of BACKGROUND times the bucket's share in all languages.
+
+    It is 0 for buckets that a language lacks; the others are the rows starts[bucket] to starts[bucket + 1] of numbers
+    (the language's) and logs, so that languages of any number and share fit.
+    """
 
     languages: list[str]
+    starts: np.ndarray
+    numbers: np.ndarray
     logs: np.ndarray
 
     def likelihoods(self, text: str | None) -> tuple[list[float], int]:
         """Log-likelihood of each language, its highest 0, and the number of 4-grams."""
         at = grams(text or "")
-        if not len(at) or not self.languages:
-            return [0.0] * len(self.languages), len(at)
-        if len(at) < 1 << BITS:
-            total = self.logs[at].sum(0, dtype=np.float64)
-        else:
-            total = np.bincount(at, minlength=1 << BITS) @ self.logs.astype(np.float64)
-        total *= min(1.0, EVIDENCE / len(at))
-        return (total - total.max()).tolist(), len(at)
-
-
-def learn_text(docs: DataFrame, text_col: str = "text", label_col: str = "lang", least_share: float = LEAST_SHARE) -> TextModel:
-    """Counts over all labelled documents; at most 1 / least_share languages times 2**BITS counts reach the driver."""
+        n = len(at)
+        if not n or not self.languages:
+            return [0.0] * len(self.languages), n
+        times = np.ones(n) if n < 1 << BITS else np.bincount(at, minlength=1 << BITS)
+        if n >= 1 << BITS:
+            at = np.flatnonzero(times)
+            times = times[at]
+        sizes = self.starts[at + 1] - self.starts[at]
+        ends = np.cumsum(sizes)
+        rows = np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1])
+        total = np.bincount(self.numbers[rows], self.logs[rows] * np.repeat(times, sizes), len(self.languages))
+        total *= min(1.0, EVIDENCE / n)
+        return (total - total.max()).tolist(), n
+
+
+def learn_text(docs: DataFrame, text_col: str = "text", label_col: str = "lang") -> TextModel:
+    """Counts over all labelled documents, of every label that occurs; at most 2**BITS counts a label reach the driver.
+
+    A label's own shares are mixed with those of all labels. The weight is the same for each, so that text which no
+    label has seen speaks for none, however rare.
+    """
     known = docs.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    shares = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    total = shares.agg(F.sum("n")).first()[0] or 0
-    languages = sorted(r["lang"] for r in shares.filter(F.col("n") >= least_share * total).collect())
-    number = {x: k for k, x in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(languages), 1 << BITS), np.int64)
+        counts: dict[str, np.ndarray] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, own in counts.items():
+                bucket = np.flatnonzero(own)
+                # Bucket -1 names the label even if its texts have no 4-grams.
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(bucket) + 1), pa.string()), pa.array(np.append(bucket, -1)), pa.array(np.append(own[bucket], 0))], ["lang", "bucket", "n"])
+            counts.clear()
+
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if lang in number:
-                    at = grams(text.as_py())
-                    if len(at):
-                        counts[number[lang]] += np.bincount(at, minlength=1 << BITS)
-        lang, bucket = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(bucket), pa.array(counts[lang, bucket])], ["lang", "bucket", "n"])
-
-    counts = np.zeros((len(languages), 1 << BITS))
-    if languages:
-        found = known.mapInArrow(count, "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-        counts[found["lang"], found["bucket"]] = found["n"]
-    logs = np.log(counts + SMOOTH) - np.log(counts.sum(1, keepdims=True) + SMOOTH * (1 << BITS))
-    return TextModel(languages, np.ascontiguousarray(logs.T.astype(np.float32)))
+                if lang not in counts:
+                    if len(counts) >= HELD:
+                        yield from out()
+                    counts[lang] = np.zeros(1 << BITS, np.int64)
+                at = grams(text.as_py())
+                if len(at):
+                    counts[lang] += np.bincount(at, minlength=1 << BITS)
+        yield from out()
+
+    found = known.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    languages = sorted(found["lang"].unique())
+    found = found[found["bucket"] >= 0].sort_values(["bucket", "lang"])
+    bucket, n = found["bucket"].to_numpy(np.int64), found["n"].to_numpy(np.float64)
+    number = np.searchsorted(np.array(languages, object), found["lang"].to_numpy(object)).astype(np.int32)
+    whole = np.bincount(bucket, n, 1 << BITS) + SMOOTH
+    share = n / np.bincount(number, n, len(languages))[number]
+    logs = np.log1p((1 - BACKGROUND) * share / (BACKGROUND * whole[bucket] / whole.sum()))
+    return TextModel(languages, np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=1 << BITS))]), number, logs.astype(np.float32))
 
 
 def likelihood_udf(docs: DataFrame, model: TextModel, html: bool = False):  # noqa: ANN201

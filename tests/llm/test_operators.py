@@ -290,6 +290,22 @@ def test_language(spark):
     assert langid.identify_pages(spark.createDataFrame(rows[:2], "page_id long, url string, html string"), docs.limit(0)).count() == 2
 
 
+def test_rare_language(spark):
+    text = {"en": "the house and the garden with the old tree", "fi": "vanha puutarha talon takana kasvaa omenapuita"}
+    docs = documents(spark, [(k, f"{text['en']} {k}", "en", "s") for k in range(300)] + [(900, text["fi"], "fi", "t")])
+    rows = [(k, f"http://{lang}.example.com/", f"<html lang={lang}><p>{text[lang]}</p></html>") for k, lang in enumerate(["en", "en", "fi"])]
+    out = langid.identify_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), docs).collect()
+    assert {r["page_id"]: (r["language"], r["accepted"]) for r in out} == {0: ("en", True), 1: ("en", True), 2: ("fi", True)}
+    assert langid.keep_identified(docs).count() == 301
+
+
+def test_many_languages(spark):
+    docs = documents(spark, [(k, " ".join(f"{a}{b}{c}" for b in "aeiou" for c in "klmnr"), f"l{k}", "s") for k, a in enumerate(x + y for x in "bcdfghjkl" for y in "pqrstvwxz")])
+    rows = [(k, f"http://{k}.com/", f"<p>{r['text']}</p>") for k, r in enumerate(docs.sort("doc_id").collect())]
+    out = langid.identify_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), docs).collect()
+    assert len(out) == 81 and all(r["language"] == f"l{r['page_id']}" for r in out)
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(6)
     words = [f"w{k}" for k in range(200)]
