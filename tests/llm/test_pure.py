@@ -173,6 +173,16 @@ def test_main_and_other_articles():
     assert html.blocks("x<p>y") == (False, ["x", "y"])
 
 
+def test_formulas_objects_and_unclosed_elements():
+    assert html.blocks("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and <object data=a><b>words</b></object> end</article>") == (True, ["so x=2 and words end"])
+    assert html.blocks("<article><p>a</p><div>b<select><option>no<option>no</div><p>c</p><div><video>no</div><p>d</p></article>") == (True, ["a", "b", "c", "d"])
+    assert html.blocks("<article><div>a<textarea>no</div><p>b</p><svg><title>no</title><text>no</svg><p>c<script>no</p>no</article>") == (True, ["a", "b", "c"])
+
+
+def test_single_unique_tokens_stay():
+    assert html.unique_runs("Price 42 EUR by Ann", np.array([True, False, True, True, False])) == "42 Ann"
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="<>/!-=\"' abpdivscript&;#1", max_size=80))
 def test_any_html_is_read(text):
