@@ -36,12 +36,13 @@ SAMPLE = 20_000
 PRIOR, DOUBT, DRIFT = 0.02, 2.0, 0.02
 WEAK_PRIOR, WEAK_DOUBT, WEAK_HALF = 0.01, 1.64, 10.0
 LETTERS = re.compile(r"[^\W\d_]+")
-BATCH = 2_000_000
-REMEMBERED = 100_000
+#: So many characters are read at once; a task remembers the buckets of so many words.
+BATCH = 500_000
+REMEMBERED = 50_000
 
 
 class Buckets(dict):
-    """word -> number; `words` and `starts` are the buckets of the numbered words."""
+    """word -> number; `words` and `starts` are the buckets of the numbered words. One for each task, gone with it."""
 
     def __init__(self) -> None:
         self.words: list[int] = []
@@ -54,28 +55,22 @@ class Buckets(dict):
         self.starts.append((1 << WORD_BITS) + (zlib.crc32(word[:START].encode()) & ((1 << START_BITS) - 1)) if len(word) > START else -1)
         return at
 
-
-SEEN = Buckets()
-
-
-def numbered(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first text, past, words a text, word buckets, start buckets), for runs of texts of about BATCH characters."""
-    k = 0
-    while k < len(texts):
-        first, size, parts = k, 0, []
-        if len(SEEN) > REMEMBERED:
-            SEEN.clear()
-            SEEN.words.clear()
-            SEEN.starts.clear()
-        while k < len(texts) and (k == first or size + len(texts[k]) <= BATCH):
-            lower = texts[k].lower()
-            # A list of the words of a text is no trouble below some millions of characters.
-            words = LETTERS.findall(lower) if len(lower) <= BATCH else (w[0] for w in LETTERS.finditer(lower))
-            parts.append(np.fromiter(map(SEEN.__getitem__, words), np.int64))
-            size += len(texts[k])
-            k += 1
-        at = np.concatenate(parts)
-        yield first, k, np.array([len(p) for p in parts]), np.array(SEEN.words, np.int64)[at], np.array(SEEN.starts, np.int64)[at]
+    def numbered(self, texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(first text, past, words a text, word buckets, start buckets), for runs of texts of about BATCH characters."""
+        k = 0
+        while k < len(texts):
+            first, size, parts = k, 0, []
+            if len(self) > REMEMBERED:
+                self.clear()
+                self.words.clear()
+                self.starts.clear()
+            while k < len(texts) and (k == first or size + len(texts[k]) <= BATCH):
+                # Words come one by one, so that a very long text needs no list of them.
+                parts.append(np.fromiter((self[w[0]] for w in LETTERS.finditer(texts[k].lower())) if len(texts[k]) > BATCH else map(self.__getitem__, LETTERS.findall(texts[k].lower())), np.int64))
+                size += len(texts[k])
+                k += 1
+            at = np.concatenate(parts)
+            yield first, k, np.array([len(p) for p in parts]), np.array(self.words, np.int64)[at], np.array(self.starts, np.int64)[at]
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -130,16 +125,13 @@ class Model:
         return np.where((own == 0) & (starts >= 0), scores[starts], own) - DRIFT
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray, classes: float, share: float = PRIOR, doubt: float = DOUBT) -> np.ndarray:
+def log_odds(toxic: Column, clean: Column, n1: float, n0: float, classes: float, share: float = PRIOR, doubt: float = DOUBT) -> Column:
     """Shrunken log-odds with a Dirichlet prior in proportion to the joint counts, those above 0 less the classes' log-odds; 0 where there is too little to tell."""
-    both = toxic + clean
-    prior, n1, n0 = share * both + 1e-9, toxic.sum(), clean.sum()
-    all_prior = prior.sum()
+    prior, all_prior = share * (toxic + clean) + F.lit(1e-9), share * (n1 + n0)
     a, b = toxic + prior, clean + prior
-    odds = np.log(a / np.maximum(n1 + all_prior - a, 1e-9)) - np.log(b / np.maximum(n0 + all_prior - b, 1e-9))
-    sure = np.maximum(np.abs(odds) - doubt * np.sqrt(1 / a + 1 / b), 0)
-    sure = np.where(odds > 0, np.maximum(sure - classes, 0), -sure)
-    return np.where(both > 0, np.clip(sure, -4, 6), 0)
+    odds = F.log(a / F.greatest(F.lit(n1 + all_prior) - a, F.lit(1e-9))) - F.log(b / F.greatest(F.lit(n0 + all_prior) - b, F.lit(1e-9)))
+    sure = F.greatest(F.abs(odds) - doubt * F.sqrt(1 / a + 1 / b), F.lit(0.0))
+    return F.when(odds > 0, F.least(F.greatest(sure - classes, F.lit(0.0)), F.lit(6.0))).otherwise(F.greatest(-sure, F.lit(-4.0)))
 
 
 def extreme_rate(values: np.ndarray, weights: np.ndarray) -> float:
@@ -195,41 +187,50 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     texts = docs.select(F.col(id_col).cast("long").alias("labelled"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(known), "labelled").select("toxic", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, BUCKETS), np.int64)
+        counts, seen = np.zeros((2, BUCKETS), np.int64), Buckets()
         for batch in batches:
             toxic = batch.column(0).to_numpy()
-            for first, _, sizes, words, starts in numbered(batch.column(1).to_pylist()):
+            for first, _, sizes, words, starts in seen.numbered(batch.column(1).to_pylist()):
                 for k, (w, s) in enumerate(zip(np.split(words, np.cumsum(sizes)[:-1]), np.split(starts, np.cumsum(sizes)[:-1]), strict=True)):
                     counts[toxic[first + k], np.unique(w)] += 1
                     counts[toxic[first + k], np.unique(s[s >= 0])] += 1
         at = np.flatnonzero(counts.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[1, at]), pa.array(counts[0, at])], ["bucket", "toxic", "clean"])
 
-    # At most BUCKETS rows reach the driver.
-    found = texts.mapInArrow(count, "bucket long, toxic long, clean long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toPandas()
-    counts = np.zeros((2, BUCKETS))
-    counts[0, found["bucket"]], counts[1, found["bucket"]] = found["clean"], found["toxic"]
+    # At most BUCKETS rows, of which only those with odds reach the driver.
+    counts = cut(texts.mapInArrow(count, "bucket long, toxic long, clean long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
     edge = 1 << WORD_BITS
-    parts = [(counts[1, part], counts[0, part]) for part in (slice(0, edge), slice(edge, None))]
-    model = Model(*(np.concatenate([log_odds(a, b, *how) for a, b in parts]).astype(np.float32) for how in ((classes, PRIOR, DOUBT), (0.0, WEAK_PRIOR, WEAK_DOUBT))))
-    if not (counts[0].any() and counts[1].any()):
+    sums = {r["start"]: (float(r["n1"]), float(r["n0"])) for r in counts.groupBy((F.col("bucket") >= edge).alias("start")).agg(F.sum("toxic").alias("n1"), F.sum("clean").alias("n0")).collect()}
+    model = Model(np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32))
+    n1, n0 = sums.get(False, (0.0, 0.0))
+    if not (n1 and n0):
         share = known.agg(F.avg("toxic")).first()[0] or 0.0
         model.curve = (float(np.log((share + 1e-3) / (1 - share + 1e-3))), 0.0)
-        model.scores[:] = model.weak[:] = 0
         return model
-    model.rate = extreme_rate(model.scores[:edge].astype(float) - DRIFT, counts[0, :edge])
+    kinds = [(F.col("bucket") >= edge) if start else (F.col("bucket") < edge) for start in sums]
+    for name, how in (("score", (classes, PRIOR, DOUBT)), ("weak", (0.0, WEAK_PRIOR, WEAK_DOUBT))):
+        parts = [F.when(kind, log_odds(F.col("toxic"), F.col("clean"), *of, *how)) for kind, of in zip(kinds, sums.values(), strict=True)]
+        counts = counts.withColumn(name, F.coalesce(*parts))
+    found = counts.filter("score <> 0 or weak <> 0").select("bucket", "clean", F.col("score").cast("float"), F.col("weak").cast("float")).toPandas()
+    at = found["bucket"].to_numpy(np.int64)
+    model.scores[at], model.weak[at] = found["score"], found["weak"]
+    # Words without odds have the drift alone.
+    words = found[at < edge]
+    model.rate = extreme_rate(np.append(words["score"].to_numpy(float), 0.0) - DRIFT, np.append(words["clean"].to_numpy(float), n0 - words["clean"].sum()))
     shared = context.broadcast(model)
 
     @F.pandas_udf("n long, segments array<double>, weak double")
-    def segments(text: pd.Series) -> pd.DataFrame:
-        m, sizes, out, weak = shared.value, [], [], []
-        for *_, counted, words, starts in numbered(text.tolist()):
-            ends = np.cumsum(counted)[:-1]
-            for own in np.split(m.of_words(m.scores, words, starts), ends):
-                sizes.append(len(own))
-                out.append([s for *_, s in maximal_segments(own)])
-            weak += [best_segment(own) for own in np.split(m.of_words(m.weak, words, starts), ends)]
-        return pd.DataFrame({"n": sizes, "segments": out, "weak": weak})
+    def segments(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        m, seen = shared.value, Buckets()
+        for text in batches:
+            sizes, out, weak = [], [], []
+            for *_, counted, words, starts in seen.numbered(text.tolist()):
+                ends = np.cumsum(counted)[:-1]
+                for own in np.split(m.of_words(m.scores, words, starts), ends):
+                    sizes.append(len(own))
+                    out.append([s for *_, s in maximal_segments(own)])
+                weak += [best_segment(own) for own in np.split(m.of_words(m.weak, words, starts), ends)]
+            yield pd.DataFrame({"n": sizes, "segments": out, "weak": weak})
 
     scored = cut(texts.select("toxic", segments("text").alias("s")).select("toxic", "s.n", "s.segments", "s.weak"))
     top = F.coalesce(F.array_max("segments"), F.lit(0.0))
@@ -239,6 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     x = x + F.col("weak") / (F.col("weak") + WEAK_HALF)
     binned = scored.groupBy("toxic", (F.round(F.least(x, F.lit(100.0)) * 4) / 4).alias("x")).agg(F.count(F.lit(1)).alias("w")).toPandas()
     model.curve = logistic(binned["x"].to_numpy(float), binned["toxic"].to_numpy(float), binned["w"].to_numpy(float))
+    shared.destroy()
     return model
 
 
@@ -246,30 +248,36 @@ PASSAGES = "array<struct<first: int, past: int, score: double, expected: double>
 RESULT = f"score double, passages {PASSAGES}"
 
 
+def scored_texts(m: Model, seen: Buckets, texts: list[str]) -> pd.DataFrame:
+    """The score of each text and the character ranges of its significant passages."""
+    x, passages = np.zeros(len(texts)), [[] for _ in texts]
+    for first, _, counted, words, starts in seen.numbered(texts):
+        own, ends = m.of_words(m.scores, words, starts), np.cumsum(counted)
+        weak = np.array([best_segment(w) for w in np.split(m.of_words(m.weak, words, starts), ends[:-1])])
+        x[first : first + len(weak)] = weak / (weak + WEAK_HALF)
+        # Only texts with a positive word have segments.
+        for k in np.unique(np.searchsorted(ends, np.flatnonzero(own > 0), "right")).tolist():
+            n, marks = int(counted[k]), None
+            for a, b, s in maximal_segments(own[ends[k] - n : ends[k]]):
+                evidence = m.rate * s - np.log(m.scale * n)
+                if evidence > 0:
+                    x[first + k] += evidence
+                    # Lower-casing changes a few characters' lengths; the ranges are those of the lower-case text.
+                    marks = marks or [w.span() for w in LETTERS.finditer(texts[first + k].lower())]
+                    passages[first + k].append({"first": marks[a][0], "past": marks[b - 1][1], "score": s, "expected": float(np.exp(-evidence))})
+    intercept, slope = m.curve
+    return pd.DataFrame({"score": 1 / (1 + np.exp(-np.clip(intercept + slope * np.minimum(x, 100), -30, 30))), "passages": passages})
+
+
 def scorer(docs: DataFrame, model: Model):  # noqa: ANN201
     """A function of a text column: RESULT, with the character ranges of the significant passages."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(RESULT)
-    def score(text: pd.Series) -> pd.DataFrame:
-        m, texts = shared.value, ["" if t is None else t for t in text.tolist()]
-        x, passages = np.zeros(len(texts)), [[] for _ in texts]
-        for first, _, counted, words, starts in numbered(texts):
-            own, ends = m.of_words(m.scores, words, starts), np.cumsum(counted)
-            weak = np.array([best_segment(w) for w in np.split(m.of_words(m.weak, words, starts), ends[:-1])])
-            x[first : first + len(weak)] = weak / (weak + WEAK_HALF)
-            # Only texts with a positive word have segments.
-            for k in np.unique(np.searchsorted(ends, np.flatnonzero(own > 0), "right")).tolist():
-                n, marks = int(counted[k]), None
-                for a, b, s in maximal_segments(own[ends[k] - n : ends[k]]):
-                    evidence = m.rate * s - np.log(m.scale * n)
-                    if evidence > 0:
-                        x[first + k] += evidence
-                        # Lower-casing changes a few characters' lengths; the ranges are those of the lower-case text.
-                        marks = marks or [w.span() for w in LETTERS.finditer(texts[first + k].lower())]
-                        passages[first + k].append({"first": marks[a][0], "past": marks[b - 1][1], "score": s, "expected": float(np.exp(-evidence))})
-        intercept, slope = m.curve
-        return pd.DataFrame({"score": 1 / (1 + np.exp(-np.clip(intercept + slope * np.minimum(x, 100), -30, 30))), "passages": passages})
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        seen = Buckets()
+        for text in batches:
+            yield scored_texts(shared.value, seen, ["" if t is None else t for t in text.tolist()])
 
     return score
 
