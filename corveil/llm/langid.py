@@ -2,8 +2,8 @@
 
 The text gives likelihoods of byte 4-grams, learnt from labelled documents. From the languages that the text alone
 suggests, grouped aggregation gives how often a language declares itself as what, how often it is found under an
-address suffix, and host priors that are smoothed towards the host's domain, and those towards the whole. A record's
-posterior is the product of all four, normalised.
+address suffix, and host priors that are smoothed towards the host's domain, and those towards the whole. A record's own vote
+is left out of the counts that judge it. Its posterior is the product of all four, normalised.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ HELD = 64
 #: A text counts as at most so many independent 4-grams, since neighbours overlap.
 EVIDENCE = 60.0
 SMOOTH, HOST_WEIGHT = 0.5, 8.0
-#: Tables of at most so many rows are broadcast; larger ones are joined by their key.
+#: Tables of at most so many keys are broadcast, so that the records need no shuffle; larger ones are joined by their key.
 BROADCAST_ROWS = 50_000
 ACCEPTED = 0.5
 TAGS = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
@@ -139,65 +139,54 @@ def split_address(url: Column) -> tuple[Column, Column, Column]:
     return host, F.substring_index(host, ".", -2), F.when(host.isNotNull(), F.concat(F.substring_index(host, ".", -1), rest[1]))
 
 
-def with_small(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
-    """df left-joined with other, which has one row per key and is broadcast if it has at most BROADCAST_ROWS rows."""
-    other = cut(other)
-    return df.join(F.broadcast(other) if other.count() <= BROADCAST_ROWS else other, keys, "left")
+def evidence_counts(evidence: DataFrame, keys: list[str]) -> tuple[dict[str, DataFrame], dict[int, int]]:
+    """A table (key, counts, total) for each of the keys, and the counts of all; counts: language number to records whose text suggests it.
 
-
-def shares(counts: DataFrame, key: str, towards: Column | None, weight: float, languages: list[str], name: str) -> DataFrame:
-    """Per key, log-probabilities of each language: its counts (columns n0, n1, ...) smoothed towards those given."""
-    n = len(languages)
-    total = sum((F.col(f"n{k}") for k in range(1, n)), F.col("n0"))
-    base = towards if towards is not None else F.array(*[F.lit(1.0 / n)] * n)
-    return counts.withColumn(name, F.array(*[(F.col(f"n{k}") + weight * base[k]) / (total + weight) for k in range(n)])).drop(*[f"n{k}" for k in range(n)])
-
-
-def table_of(evidence: DataFrame, keys: list[str], languages: list[str]) -> DataFrame:
-    """Per key, the numbers of records whose text suggests each language; records without 4-grams suggest none."""
-    return evidence.filter(F.col("grams") > 0).groupBy(*keys).agg(*[F.sum((F.col("suggested") == k).cast("long")).alias(f"n{k}") for k in range(len(languages))])
+    Grouped aggregations with partial counts before their shuffle, so that a host with a third of all records costs a
+    few rows a task; a key's map has at most one entry a language. Records without 4-grams suggest none.
+    """
+    joint = cut(evidence.filter(F.col("grams") > 0).groupBy(*keys, "suggested").agg(F.count(F.lit(1)).alias("n")))
+    tables = {}
+    for key in keys:
+        n = joint.filter(F.col(key).isNotNull()).groupBy(key, "suggested").agg(F.sum("n").alias("n"))
+        tables[key] = n.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("suggested", "n"))).alias(f"{key}_counts"), F.sum("n").alias(f"{key}_total"))
+    return tables, {r["suggested"]: r["n"] for r in joint.groupBy("suggested").agg(F.sum("n").alias("n")).collect()}
 
 
-def evidence_tables(evidence: DataFrame, languages: list[str]) -> dict[str, DataFrame]:
-    """declared, suffix and host tables of evidence (host, domain, suffix, declared, grams, suggested).
+def fuse(evidence: DataFrame, languages: list[str], keys: list[str]) -> DataFrame:
+    """evidence with language, posterior and posteriors; what a record lacks or nobody else has adds nothing.
 
-    Each is a grouped aggregation with partial counts before its shuffle, so that a host with a third of all records
-    costs one row a task.
+    keys are those of host, domain, suffix and declared that evidence has. Of equal posteriors the first language in
+    code point order counts.
     """
     n = len(languages)
-    # One pass: the joint counts, from which the others follow.
-    joint = cut(table_of(evidence, ["host", "domain", "suffix", "declared"], languages))
-    sums = [F.sum(f"n{k}").alias(f"n{k}") for k in range(n)]
-    whole = [x or 0 for x in joint.agg(*sums).first()]
-    every = [(x + 1) / (sum(whole) + n) for x in whole]
-    everywhere = F.array(*[F.lit(float(x)) for x in every])
-
-    def given(key: str) -> DataFrame:
-        """P(value of key | language) up to a factor that is equal for all languages: P(language | value) / P(language)."""
-        found = shares(joint.filter(F.col(key).isNotNull()).groupBy(key).agg(*sums), key, everywhere, HOST_WEIGHT, languages, "p")
-        return found.select(key, F.array(*[F.log(F.col("p")[k]) - F.log(F.lit(every[k])) for k in range(n)]).alias(f"{key}_logs"))
-
-    domains = shares(joint.filter("domain is not null").groupBy("domain").agg(*sums), "domain", everywhere, HOST_WEIGHT, languages, "domain_p")
-    hosts = joint.filter("host is not null").groupBy("host", "domain").agg(*sums).join(domains, "domain", "left")
-    hosts = shares(hosts, "host", F.coalesce(F.col("domain_p"), everywhere), HOST_WEIGHT, languages, "p")
-    hosts = hosts.groupBy("host").agg(F.first("p").alias("p")).select("host", F.array(*[F.log(F.col("p")[k]) for k in range(n)]).alias("host_logs"))
-    return {"declared": given("declared"), "suffix": given("suffix"), "host": hosts, "every": every}
-
-
-def fuse(evidence: DataFrame, tables: dict[str, DataFrame], languages: list[str]) -> DataFrame:
-    """evidence with language, posterior and posteriors; what a record lacks or nobody else has adds nothing."""
-    n = len(languages)
-    for key in ("declared", "suffix", "host"):
-        evidence = with_small(evidence, tables[key], [key])
-    prior = F.coalesce(F.col("host_logs"), F.array(*[F.log(F.lit(float(x))) for x in tables["every"]]))
-    none = F.array(*[F.lit(0.0)] * n)
-    logs = [F.col("logs")[k] + prior[k] + F.coalesce(F.col("declared_logs"), none)[k] + F.coalesce(F.col("suffix_logs"), none)[k] for k in range(n)]
-    evidence = evidence.withColumn("logs", F.array(*logs))
+    tables, whole = evidence_counts(evidence, keys)
+    for key in keys:
+        small = tables[key].count() <= BROADCAST_ROWS
+        evidence = evidence.join(F.broadcast(tables[key]) if small else tables[key], key, "left")
+    every = F.array(*[F.lit(float((whole.get(k, 0) + 1) / (sum(whole.values()) + n))) for k in range(n)])
+    votes = F.col("grams") > 0
+
+    def share(key: str, k: Column, base: Column) -> Column:
+        """The share of language k among the others with this key, smoothed towards base."""
+        if key not in keys:
+            return base
+        own = F.when(votes & (F.col("suggested") == k), 1).otherwise(0)
+        some = F.coalesce(F.try_element_at(F.col(f"{key}_counts"), k), F.lit(0)) - own
+        return F.when(F.col(f"{key}_total").isNull(), base).otherwise((some + HOST_WEIGHT * base) / (F.col(f"{key}_total") - votes.cast("int") + HOST_WEIGHT))
+
+    def log_posterior(k: Column) -> Column:
+        base = F.get(every, k)
+        prior = share("host", k, share("domain", k, base))
+        return F.get("logs", k) + F.log(prior) + F.log(share("declared", k, base) / base) + F.log(share("suffix", k, base) / base)
+
+    evidence = evidence.withColumn("logs", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), log_posterior))
     top = F.array_max("logs")
-    raw = F.transform("logs", lambda x: F.exp(x - top))
-    evidence = evidence.withColumn("posteriors", raw).withColumn("posteriors", F.transform("posteriors", lambda x: x / F.aggregate("posteriors", F.lit(0.0), lambda a, b: a + b)))
+    evidence = evidence.withColumn("posteriors", F.transform("logs", lambda x: F.exp(x - top)))
+    evidence = evidence.withColumn("posteriors", F.transform("posteriors", lambda x: x / F.aggregate("posteriors", F.lit(0.0), lambda a, b: a + b)))
     best = F.array_position("posteriors", F.array_max("posteriors")).cast("int")
-    return evidence.withColumn("language", F.element_at(F.array(*[F.lit(x) for x in languages]), best)).withColumn("posterior", F.array_max("posteriors")).drop("logs", "declared_logs", "suffix_logs", "host_logs")
+    evidence = evidence.withColumn("language", F.element_at(F.array(*[F.lit(x) for x in languages]), best)).withColumn("posterior", F.array_max("posteriors"))
+    return evidence.drop("logs", *[f"{key}_{c}" for key in keys for c in ("counts", "total")])
 
 
 def suggested() -> Column:
@@ -221,24 +210,24 @@ def identify_pages(pages: DataFrame, documents: DataFrame) -> DataFrame:
     read = likelihood_udf(pages, model, html=True)
     e = e.select("page_id", host.alias("host"), domain.alias("domain"), suffix.alias("suffix"), read("html").alias("t")).select("page_id", "host", "domain", "suffix", "t.logs", "t.grams", "t.declared")
     e = cut(e.withColumn("suggested", suggested()))
-    out = fuse(e, evidence_tables(e, model.languages), model.languages)
+    out = fuse(e, model.languages, ["host", "domain", "suffix", "declared"])
     return out.select("page_id", "host", "suffix", "declared", "grams", "language", "posterior", ((F.col("grams") > 0) & (F.col("posterior") >= ACCEPTED)).alias("accepted"))
 
 
-def keep_identified(docs: DataFrame, text_col: str = "text", label_col: str = "lang", host_col: str = "source") -> DataFrame:
+def keep_identified(docs: DataFrame, text_col: str = "text", label_col: str = "lang", host_col: str = "source", declared_col: str | None = None) -> DataFrame:
     """The rows of docs, with all their columns, whose text has letters and whose language is certain enough.
 
-    The label counts as the declared language and the source as the host. A null label or source adds nothing.
+    The texts' labels teach the text model, the source counts as the host. A language that the rows declare apart from
+    the label is further evidence; the label itself is none, since the model has seen it. A null label or source adds
+    nothing. Rows are read once more than the model reads them and kept in a checkpoint until they are judged.
     """
     model = learn_text(docs, text_col, label_col)
     if not model.languages:
         return docs.filter(F.lit(False))
     read = likelihood_udf(docs, model)
-    row = fresh(docs, "row")
-    text = F.struct(*[F.col(c) for c in docs.columns]).alias(row)
-    t = fresh(docs, "t")
-    e = docs.select(text, F.lower(F.col(label_col).cast("string")).alias("declared"), F.col(host_col).cast("string").alias("host"), read(F.col(text_col).cast("string")).alias(t))
-    e = e.select(row, "declared", "host", F.lit(None).cast("string").alias("domain"), F.lit(None).cast("string").alias("suffix"), f"{t}.logs", f"{t}.grams")
-    small = e.drop(row).withColumn("suggested", suggested())
-    out = fuse(e, evidence_tables(small, model.languages), model.languages)
+    row, t = fresh(docs, "row"), fresh(docs, "t")
+    declared = [F.lower(F.col(declared_col).cast("string")).alias("declared")] if declared_col else []
+    e = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias(row), *declared, F.col(host_col).cast("string").alias("host"), read(F.col(text_col).cast("string")).alias(t))
+    e = cut(e.select(row, *["declared"] * len(declared), "host", f"{t}.logs", f"{t}.grams").withColumn("suggested", suggested()))
+    out = fuse(e, model.languages, ["host", *["declared"] * len(declared)])
     return out.filter((F.col("grams") > 0) & (F.col("posterior") >= ACCEPTED)).select(f"{row}.*")
