@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corveil.llm.common import cut, hash_bucket, ranked
-from corveil.llm.wordbpe import encoder
+from corveil.llm.wordids import WordIds
 
 CAPACITY = 4096
 #: The id that closes each document.
 CLOSE = 1
-#: So many texts are encoded at once.
-SLICE = 1000
+#: So many texts come out at once.
+SLICE = 200
 PLAN = "length long, first long, past long, sequence long, each long, base long"
 
 
@@ -103,12 +103,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
     A null or empty text has only the closing id. Rows with the same id are documents of their own.
     """
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(tokenizer)
+        words = WordIds(tokenizer)
         for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
-            texts = [x or "" for x in batch.column(1).to_pylist()]
             rows, piece, start, length, crc = [], [], [], [], []
-            for k, ids in enumerate(words.encode(texts)):
-                ids = np.append(ids, CLOSE).astype("<u4")
+            for k, text in enumerate(batch.column(1)):
+                ids = np.append(words.ids(text.as_py() or ""), np.uintc(CLOSE)).astype("<u4")
                 for p, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
                     rows.append(k)
