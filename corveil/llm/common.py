@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: The words of the contracts: runs of anything but ASCII white space.
 WORD = "[^\\x20\\x09-\\x0D]+"
+#: Nodes with over 1/HUBS of the edges, and HUB at least, are joined by broadcast.
+HUBS, HUB = 5000, 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,11 +35,14 @@ def fresh(df: DataFrame, stem: str) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """df written to the reliable checkpoint folder and read back, so that later stages survive lost executors.
 
-    The folder is the one named by spark.checkpoint.dir; only where that is unset (tests) a local one is taken.
+    The folder is the one named by spark.checkpoint.dir. Where that is unset, a session on one machine takes a local
+    one, and any other is an error. spark.cleaner.referenceTracking.cleanCheckpoints removes spent ones.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
 
@@ -63,17 +69,20 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable from each node that edges (a, b) mention.
 
     Alternates the large-star and small-star steps until the edges are stars around their smallest node. Each step is
-    a grouped minimum and a join back, so that no component is ever in one task; each round is checkpointed.
+    a grouped minimum and a join back, so that no component is ever in one task; each round is checkpointed. Nodes with
+    more than their share of the edges, at most 2 * HUBS of them, are broadcast instead of gathering their edges.
     """
-    def stars(e: DataFrame, large: bool) -> DataFrame:
+    def stars(e: DataFrame, n: int, large: bool) -> DataFrame:
         if large:
             e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = e.groupBy("a").agg(F.min("b").alias("m"))
-        e = e.join(least, "a")
+        least = e.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        hub = F.col("n") > max(n // HUBS, HUB)
+        hubs = F.broadcast(least.filter(hub).select("a", "m"))
+        e = e.join(hubs, "a").unionByName(e.join(hubs.select("a"), "a", "left_anti").join(least.filter(~hub).select("a", "m"), "a"))
         m = F.least("a", "m")
         if large:
             return e.filter("b > a").select(F.col("b").alias("a"), m.alias("b")).distinct()
-        return e.select("b", "m", F.lit(False).alias("own")).unionByName(least.select(F.col("a").alias("b"), "m", F.lit(True).alias("own"))).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        return e.select("b", "m").unionByName(least.select(F.col("a").alias("b"), "m")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
     e = cut(edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
@@ -82,6 +91,6 @@ def components(edges: DataFrame) -> DataFrame:
         if seen == state or not seen[0]:
             break
         state = seen
-        e = cut(stars(stars(e, True), False))
+        e = cut(stars(cut(stars(e, seen[0], True)), seen[0], False))
     out = e.groupBy("a").agg(F.min("b").alias("b"))
     return out.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

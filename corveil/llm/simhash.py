@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corveil.llm.common import components, cut, fresh
@@ -85,11 +84,12 @@ def block_pairs(rows: DataFrame, key: str, order: str, block: int) -> DataFrame:
     """rows with left and right: the pairs of blocks of its key's rows in which a row takes part.
 
     Keys with at most `block` rows have the one pair (0, 0). A key with b blocks repeats each row b times, so that
-    every two rows of a key meet in a pair of blocks and no task takes more than two blocks of a key.
+    every two rows of a key meet in a pair of blocks and no task takes more than two blocks of a key. The rows of a key
+    are counted before the shuffle and never gathered; a key with M rows comes to M * M / block rows.
     """
-    own = W.partitionBy(key)
     n, b = fresh(rows, "n"), fresh(rows, "b")
-    rows = rows.withColumn(n, F.count(F.lit(1)).over(own)).filter(F.col(n) > 1).withColumn(n, F.ceil(F.col(n) / block).cast("int"))
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias(n)).filter(F.col(n) > 1)
+    rows = rows.join(sizes, key).withColumn(n, F.ceil(F.col(n) / block).cast("int"))
     rows = rows.withColumn(b, F.pmod(F.xxhash64(order), F.col(n).cast("long")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda x: F.struct(F.least(x, F.col(b)).alias("left"), F.greatest(x, F.col(b)).alias("right"), F.col(b).alias("own")))
     return rows.withColumn(n, F.explode(pairs)).select(*[c for c in rows.columns if c not in (n, b)], F.col(n)["left"].alias("left"), F.col(n)["right"].alias("right"), F.col(n)["own"].alias("own"))
