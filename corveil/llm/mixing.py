@@ -59,7 +59,7 @@ def invert_demand(part: Column, slope: Column) -> Column:
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, slopes: Sequence[float] = SLOPES, share: float = SHARE, repeats: int = REPEATS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, size, source_size, target, taken, number, position, last_position) of each document, by position.
 
-    A source's documents come in the order of the MD5 of their id. Words are taken from the first until the target
+    A source's documents come in the order of the MD5 of their id, or of their text where that is null. Words are taken from the first until the target
     is met, in as many rounds as it takes; the document at the border gives only its first words. So a source gives
     its target, rounded down, and no document more than `repeats` times its size. `position` is null where nothing is
     taken; `last_position` is that of the last round. Null text: size 0. Null source: a source of its own, the last.
@@ -67,7 +67,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, slopes: Sequence[floa
     """
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(source_col).cast("string").alias("source"))
-    d = cut(d.select("doc_id", size.alias("size"), "source", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h")))
+    d = cut(d.select("doc_id", size.alias("size"), "source", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")).cast("binary")).alias("h")))
     targets = source_targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, repeats)
     bucket = F.substring("h", 1, 3).alias("bucket")
     before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)

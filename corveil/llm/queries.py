@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import importlib.util
 from collections.abc import Callable
-from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +12,8 @@ from corveil.llm import embeddings, html, langid, matroska, mixing, packing, sha
 from corveil.llm.common import table
 
 
-def tokenizer(name: str = "word_bpe_49k.json") -> str:
-    """Where the installed package of public vocabularies keeps a file; each machine has its own copy."""
-    return str(Path(importlib.util.find_spec("public_tokenizers").origin).with_name(name))
+#: The installed vocabulary; each machine has its own copy at this place.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +21,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit_pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer()))
+    return packing.best_fit_pack(packing.pieces(table(spark, sf_dir, "documents"), TOKENIZER))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 MIXING = """
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, text, '')) AS h FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS number FROM d GROUP BY source
 ), w AS (

@@ -9,7 +9,8 @@ import pytest
 import xxhash
 
 from corveil.llm import common, embeddings, html, langid, matroska, mixing, packing, sharding, simhash, toxicity, urls
-from corveil.llm.queries import tokenizer
+from corveil.llm.queries import TOKENIZER
+from corveil.llm.wordids import WordIds
 
 DOCS = "doc_id long, text string, lang string, source string, extra string"
 
@@ -39,9 +40,9 @@ def test_ranked_and_components(spark):
 
 def test_packing(spark):
     rows = some()
-    out = packing.best_fit_pack(packing.pieces(documents(spark, rows), tokenizer(), 64), 64).collect()
+    out = packing.best_fit_pack(packing.pieces(documents(spark, rows), TOKENIZER, 64), 64).collect()
     assert sum(r["piece"] == 0 for r in out) == len(rows)
-    plain = packing.encoder(tokenizer()).plain
+    plain = WordIds(TOKENIZER).plain
     want = sorted(len(plain.encode(t or "", add_special_tokens=False).ids) + 1 for _, t, _, _ in rows)
     by_sequence = {}
     for r in out:
@@ -55,7 +56,7 @@ def test_packing(spark):
         assert at <= 64
     assert sum(r["length"] for r in out) == sum(want)
     assert len(by_sequence) <= math.ceil(sum(want) / 64) * 1.25
-    assert packing.best_fit_pack(packing.pieces(documents(spark, []), tokenizer())).count() == 0
+    assert packing.best_fit_pack(packing.pieces(documents(spark, []), TOKENIZER)).count() == 0
 
 
 def brute_moves(counts, owner, shards):

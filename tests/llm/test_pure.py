@@ -11,33 +11,33 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from corveil.llm import html, matroska, packing, simhash, toxicity
-from corveil.llm.queries import tokenizer
-from corveil.llm.wordbpe import WordBpe
+from corveil.llm.queries import TOKENIZER
+from corveil.llm.wordids import WordIds
 
 
 def test_ids_equal_those_of_tokenizers():
-    words = WordBpe(tokenizer(), remembered=50)
+    words = WordIds(TOKENIZER, remembered=50)
     texts = ["", " ", "Don't it's 'LL\n12³ª #%&***@!!", "a<|endoftext|>b <|startoftext|>", "ÀÉß İ ΑΣ Σ x á ́b", "日本語 text\tb c\x1cd\x85e", "x" * 200, "in the the in " * 50, "SE!! CIÓNCIEZ!!", "a­b", "\n\n \n"]
-    for text, ids in zip(texts, words.encode(texts), strict=True):
-        assert ids.tolist() == words.plain.encode(text, add_special_tokens=False).ids
+    for text in texts:
+        assert words.ids(text).tolist() == words.plain.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(max_size=60), max_size=5))
 def test_ids_of_any_text(texts):
-    words = WordBpe(tokenizer()) if not hasattr(test_ids_of_any_text, "w") else test_ids_of_any_text.w
+    words = WordIds(TOKENIZER) if not hasattr(test_ids_of_any_text, "w") else test_ids_of_any_text.w
     test_ids_of_any_text.w = words
-    for text, ids in zip(texts, words.encode(texts), strict=True):
-        assert ids.tolist() == words.plain.encode(text, add_special_tokens=False).ids
+    for text in texts:
+        assert words.ids(text).tolist() == words.plain.encode(text, add_special_tokens=False).ids
 
 
 def test_a_very_long_text_is_cut_into_segments(monkeypatch):
-    import corveil.llm.wordbpe as module
+    import corveil.llm.wordids as module
 
-    monkeypatch.setattr(module, "SEGMENT", 40)
-    words = WordBpe(tokenizer())
+    monkeypatch.setattr(module, "PART", 40)
+    words = WordIds(TOKENIZER)
     text = "the quick brown fox, jumps!\n" * 20 + "y" * 130 + " end"
-    assert words.encode([text])[0].tolist() == words.plain.encode(text, add_special_tokens=False).ids
+    assert words.ids(text).tolist() == words.plain.encode(text, add_special_tokens=False).ids
 
 
 def best_fit_decreasing(lengths, capacity):
