@@ -14,10 +14,14 @@ def json_candidate(x: Column) -> Column:
     return F.when(F.try_parse_json(F.trim(x)).isNotNull(), F.trim(x)).when((part != "") & F.try_parse_json(part).isNotNull(), part)
 
 
+#: A fenced block with an array alone, and an array of objects anywhere.
+FENCED_ARRAY = r"(?s)```(?:json)?\s*(\[.*?\])\s*```"
+OBJECT_ARRAY = r"(?s)(\[\s*\{.*?\}\s*\])"
+
+
 def json_fenced(x: Column) -> Column:
     """The array in a fenced block, else the first [{...}]; null without one."""
-    fenced = F.regexp_extract(x, r"(?s)```(?:json)?\s*(\[.*?\])\s*```", 1)
-    return F.coalesce(F.nullif(fenced, F.lit("")), F.nullif(F.regexp_extract(x, r"(?s)(\[\s*\{.*?\}\s*\])", 1), F.lit("")))
+    return F.coalesce(*[F.nullif(F.regexp_extract(x, p, 1), F.lit("")) for p in (FENCED_ARRAY, OBJECT_ARRAY)])
 
 
 def boxes(x: Column) -> Column:
@@ -44,16 +48,11 @@ def point(x: Column) -> Column:
 
 def choices(x: Column) -> Column:
     """Letter to text of options written as `A. text`, one a line."""
-    pattern = r"\b([A-Z])\.\s+([^\n]+)"
-    letters, texts = (F.regexp_extract_all(x, F.lit(pattern), k) for k in (1, 2))
-    return F.map_from_arrays(F.transform(letters, lambda v: v), F.transform(texts, F.trim))
-
-
-def infer_choice(answer: Column, options: Column) -> Column:
-    """The one letter that stands alone in the answer, else that of the one option text in it, else Z."""
-    tokens = F.array_intersect(F.split(F.regexp_replace(answer, r"[^A-Za-z0-9 ]", " "), r"\s+"), F.map_keys(options))
-    inside = F.filter(F.map_entries(options), lambda e: F.contains(F.lower(answer), F.lower(e["value"])))
-    return F.when(F.size(tokens) == 1, F.get(tokens, 0)).when(F.size(inside) == 1, F.get(inside, 0)["key"]).otherwise("Z")
+    # A letter that comes twice keeps its last text.
+    found = F.regexp_extract_all(x, F.lit(r"(?<!\w)[A-Z]\.\s+[^\n]+"), 0)
+    options = F.transform(found, lambda v: F.struct(F.left(v, F.lit(1)).alias("letter"), F.trim(F.substring(v, 3, 1 << 30)).alias("text")))
+    last = F.filter(options, lambda o, i: ~F.exists(F.slice(options, i + 2, F.size(options)), lambda p: p["letter"] == o["letter"]))
+    return F.map_from_entries(last)
 
 
 def integers(x: Column) -> tuple[Column, Column]:
@@ -99,8 +98,12 @@ def tool_calls(x: Column) -> tuple[Column, Column]:
 
 
 def passages(rows: Column) -> Column:
-    """Doc i (Title: ...) lines of an array of (title, text)."""
-    return F.array_join(F.transform(rows, lambda r, i: F.concat(F.lit("Doc "), (i + 1).cast("string"), F.lit("(Title: "), r["title"], F.lit(") "), r["text"])), "\n")
+    """Doc i (Title: ...), the text in the next line and a blank line between, of an array of contents whose first line is the title."""
+    def shown(content: Column, i: Column) -> Column:
+        first = F.substring_index(content, "\n", 1)
+        return F.concat(F.lit("Doc "), (i + 1).cast("string"), F.lit(" (Title: "), first, F.lit(")\n"), F.substring(content, F.length(first) + 2, F.length(content)))
+
+    return F.regexp_replace(F.array_join(F.transform(rows, shown), "\n\n"), r"^\s+|\s+$", "")
 
 
 def exact_match_text(x: Column, lower: bool = True, punctuation: bool = True, digits: bool = True) -> Column:
@@ -108,10 +111,3 @@ def exact_match_text(x: Column, lower: bool = True, punctuation: bool = True, di
     x = F.lower(x) if lower else x
     x = F.regexp_replace(x, r"[\p{Punct}]", "") if punctuation else x
     return F.regexp_replace(x, "[0-9]", "") if digits else x
-
-
-def format_norm(x: Column) -> Column:
-    """Currency and percent marks go, `and` becomes a comma, thousands separators go, numbers lose trailing zeros; lower case."""
-    x = F.regexp_replace(F.lower(F.trim(x)), r"[$£€%]", "")
-    x = F.regexp_replace(F.regexp_replace(x, r"\s+and\s+", ", "), r"(\d),(\d{3})\b", "$1$2")
-    return F.regexp_replace(x, r"(\d+\.\d*?)0+\b", "$1")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +15,13 @@ ARTICLES = ("a", "an", "the")
 NUMBER_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten")
 
 
+def let(f: Callable[..., Column], *values: Column) -> Column:
+    """f(*values) with each value worked out once, however often f names it."""
+    names = [f"v{k}" for k in range(len(values))]
+    bound = F.struct(*[v.alias(n) for v, n in zip(values, names, strict=True)])
+    return F.get(F.transform(F.array(bound), lambda s: f(*[s[n] for n in names])), 0)
+
+
 def or_empty(x: Column) -> Column:
     return F.coalesce(x, F.lit(""))
 
@@ -58,8 +68,8 @@ def between_tags(x: Column, tag: str) -> Column:
 
 
 def extract_answer(x: Column) -> Column:
-    """The first answer tag's content, else the whole text."""
-    return F.coalesce(between_tags(x, "answer"), x)
+    """The first answer tag's content, else the whole text; stripped."""
+    return F.regexp_replace(F.coalesce(between_tags(x, "answer"), x), r"^\s+|\s+$", "")
 
 
 def after_think(x: Column) -> Column:
@@ -70,11 +80,6 @@ def occurrences(x: Column, part: str) -> Column:
     return (F.length(x) - F.length(F.replace(x, F.lit(part), F.lit("")))) / len(part)
 
 
-def boxed(x: Column) -> Column:
-    """The contents of all \\boxed{...} without braces inside, in order."""
-    return F.regexp_extract_all(x, F.lit(r"\\boxed\{([^{}]*)\}"), 1)
-
-
 def numbers(x: Column) -> Column:
     """All integers of a text."""
     return F.transform(F.regexp_extract_all(x, F.lit(r"-?\d+"), 0), lambda n: n.try_cast("long"))
@@ -144,6 +149,22 @@ def choice_letter(x: Column) -> Column:
     return F.nullif(F.regexp_extract(x, r"(?:^|[\s(])([A-Z])(?:$|[\s).:,])", 1), F.lit(""))
 
 
+def globbed(x: Column, pattern: str) -> Column:
+    """Whether the whole text matches a shell pattern: * any run, ? any character, [a-c] and [!a-c] classes; everything else as it is."""
+    out, at = "", 0
+    while at < len(pattern):
+        c = pattern[at]
+        end = pattern.find("]", at + 2 + (pattern[at + 1 : at + 2] == "!")) if c == "[" else -1
+        if end > 0:
+            inside = pattern[at + 1 : end].replace("\\", "\\\\").replace("[", "\\[").replace("^", "\\^").replace("&", "\\&")
+            out += f"[^{inside[1:]}]" if inside[0] == "!" else f"[{inside}]"
+            at = end
+        else:
+            out += {"*": ".*", "?": "."}.get(c) or re.escape(c)
+        at += 1
+    return F.regexp_like(x, F.lit(f"(?s)^{out}$"))
+
+
 def pass_at_k(n: Column, c: Column, k: int) -> Column:
     """1 - C(n - c, k) / C(n, k); 1 if fewer than k are wrong."""
     steps = F.sequence(F.lit(0), F.lit(k - 1))

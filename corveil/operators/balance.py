@@ -9,6 +9,7 @@ import heapq
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -74,6 +75,13 @@ def micro_batches(df: DataFrame, batch: str, length: str, order: str, budget: in
     return df.select(batch, order, length).groupBy(batch).applyInPandas(one, f"{batch} {kinds[batch]}, {order} {kinds[order]}, {length} {kinds[length]}, micro int")
 
 
+def rank_order(df: DataFrame, batch: str, length: str, order: str, k: int) -> DataFrame:
+    """balanced rows with place: their place in the batch once each of k workers takes the rows of its part in a row."""
+    by = W.partitionBy(batch).orderBy("part", order)
+    # A batch has a bounded number of rows.
+    return balanced(df, batch, length, order, k).withColumn("place", F.row_number().over(by) - 1)
+
+
 def load_stats(df: DataFrame, batch: str, part: str, length: str) -> DataFrame:
     """(batch, least, most, difference) of the parts' sums."""
     sums = df.groupBy(batch, part).agg(F.sum(length).alias("load"))

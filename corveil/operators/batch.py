@@ -1,28 +1,93 @@
 """Batch algebra on an explicit row number: Spark's rows have no order of their own.
 
-`numbered` gives rows a number from 0 in an order. It counts the rows of each range of the order and then numbers
-within the ranges, so that no task sees all rows.
+`numbered` gives rows a number from 0 in an order. It cuts the order into ranges of about equal numbers of rows, counts
+them and then numbers within the ranges, so that no task sees all rows.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "_idx", buckets: int = 64) -> DataFrame:
+def ranges(df: DataFrame, column: str, name: str = "_bucket", buckets: int = 256) -> DataFrame:
+    """df with the number of the row's range of a numeric column; ranges have about equally many rows, null is -1."""
+    bounds = df.select(F.col(column).cast("double").alias("x")).approxQuantile("x", [k / buckets for k in range(1, buckets)], 0.25 / buckets)
+    splits = [float("-inf"), *sorted(set(bounds)), float("inf")]
+    d = df.withColumn("_x", F.col(column).cast("double"))
+    d = Bucketizer(splits=splits, inputCol="_x", outputCol="_y", handleInvalid="keep").transform(d)
+    return d.withColumn(name, F.when(F.col("_x").isNull(), -1).otherwise(F.col("_y")).cast("int")).drop("_x", "_y")
+
+
+def ranked(df: DataFrame, group: list[str], bucket: str, order: list[Column], rank: str) -> DataFrame:
+    """df with the row's number from 0 in its group, in the order of (bucket, *order).
+
+    A group is never gathered: rows are numbered in their (group, bucket), and each bucket gets the count of those
+    before it from the pre-aggregated counts. `group` and `bucket` must not be null.
+    """
+    keys = [*group, bucket]
+    before = W.partitionBy(*group).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+    offsets = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_ahead")).withColumn("_ahead", F.coalesce(F.sum("_ahead").over(before), F.lit(0)))
+    own = F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1
+    return df.withColumn(rank, own.cast("long")).join(offsets, keys).withColumn(rank, F.col(rank) + F.col("_ahead")).drop("_ahead")
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "_idx", buckets: int = 256) -> DataFrame:
     """df with the row's number from 0 in the order of its first column (a number), then of the others."""
-    first = order[0]
-    low, high = df.agg(F.min(first), F.max(first)).first()
-    span = ((high - low) / buckets if high is not None and high > low else 1) or 1
-    bucket = F.coalesce(F.least(F.floor((F.col(first) - F.lit(low)) / F.lit(float(span))), F.lit(buckets - 1)), F.lit(-1)).cast("int")
-    d = df.withColumn("_bucket", bucket)
-    counts = d.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    return ranked(ranges(df, order[0], buckets=buckets), [], "_bucket", [F.col(c) for c in order], name).drop("_bucket")
+
+
+def ranged_sum(df: DataFrame, value: str, bucket: str, order: list[Column], upto: str, whole: str) -> DataFrame:
+    """df with the running sum of value in the order of (bucket, *order) and the sum of all, by sums of the buckets."""
+    sums = df.groupBy(bucket).agg(F.sum(value).alias("_s"))
     # One row per bucket.
-    ahead = counts.select("_bucket", F.coalesce(F.sum("_n").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
-    own = F.row_number().over(W.partitionBy("_bucket").orderBy(*order)) - 1
-    return d.withColumn(name, own.cast("long")).join(F.broadcast(ahead), "_bucket").withColumn(name, F.col(name) + F.col("_ahead")).drop("_bucket", "_ahead")
+    ahead = sums.select(bucket, F.coalesce(F.sum("_s").over(W.orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("_ahead"), F.sum("_s").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias(whole))
+    own = F.sum(value).over(W.partitionBy(bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    return df.withColumn(upto, own).join(ahead, bucket).withColumn(upto, F.col(upto) + F.col("_ahead")).drop("_ahead")
+
+
+def reorder(df: DataFrame, permutation: DataFrame, idx: str = "_idx") -> DataFrame:
+    """The rows renumbered by permutation (_idx, _new): an inner join, so rows that it lacks go."""
+    return df.join(permutation, idx).drop(idx).withColumnRenamed("_new", idx)
+
+
+def sliced(df: DataFrame, n: int, start: int | None = None, stop: int | None = None, step: int | None = None, idx: str = "_idx") -> DataFrame:
+    """The rows that the slice start:stop:step of n rows names, under the rules of a list's slice."""
+    at = range(*slice(start, stop, step).indices(n))
+    low, high = (min(at), max(at)) if len(at) else (0, -1)
+    return df.filter(F.col(idx).between(low, high) & ((F.col(idx) - low) % abs(at.step) == 0))
+
+
+def minibatches(df: DataFrame, n: int, size: int, epochs: int, seed: int | None = None, idx: str = "_idx", order: list[str] | None = None) -> DataFrame:
+    """_epoch, _batch and _at of each row in each epoch; n rows must divide into batches of `size`. With a seed each epoch has an order of its own."""
+    if n % size:
+        raise ValueError(f"{n} rows don't divide into batches of {size}")
+    d = df.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    if seed is None:
+        d = d.withColumn("_place", F.col(idx))
+    else:
+        h = F.md5(F.concat(F.lit(f"{seed}:"), F.col("_epoch").cast("string"), F.lit(":"), F.col(idx).cast("string")).cast("binary"))
+        d = ranked(d.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, 3)), ["_epoch"], "_b", [F.col("_h")], "_place").drop("_h", "_b")
+    return d.withColumns({"_batch": F.floor(F.col("_place") / size), "_at": F.col("_place") % size}).drop("_place")
+
+
+def unfold_columns(df: DataFrame, n: int, arrays: list[str], idx: str = "_idx") -> DataFrame:
+    """Each row as n rows with an n-th of its arrays each, the other columns repeated; an array that doesn't divide is an error."""
+    def part(c: str) -> Column:
+        size = F.size(c)
+        whole = F.when(size % n == 0, F.floor(size / n).cast("int")).otherwise(F.raise_error(F.lit(f"column {c} doesn't divide into {n} parts")).cast("int"))
+        return F.slice(c, F.col("_part") * whole + 1, whole)
+
+    d = df.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return d.select(*[part(c).alias(c) if c in arrays else F.col(c) for c in df.columns if c != idx], (F.col(idx) * n + F.col("_part")).alias(idx))
+
+
+def grouped_chunks(df: DataFrame, group: str, size: int, order: list[str], bucket: str) -> DataFrame:
+    """_chunk and _at of each row among those of its group: chunks of `size` that never mix groups, with the rows' own columns to restore their order by."""
+    d = ranked(df, [group], bucket, [F.col(c) for c in order], "_k")
+    return d.withColumns({"_chunk": F.floor(F.col("_k") / size), "_at": F.col("_k") % size}).drop("_k")
 
 
 def repeat(df: DataFrame, n: int, idx: str = "_idx", interleave: bool = True, total: int | None = None) -> DataFrame:

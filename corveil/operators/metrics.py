@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corveil.operators.batch import ranges, ranked
+
 #: name -> (aggregate of Columns, whether higher is better)
 AGGREGATES: dict[str, tuple[Callable[..., Column], bool]] = {
     "mean": (lambda x: F.avg(x), True),
-    "median": (lambda x: F.median(x), True),
+    # The element in the middle of the order of arrival, which is what the name means in the evaluation configs.
+    "median": (lambda x, order: median_arrival(x, order), True),
+    "sorted_median": (lambda x: F.median(x), True),
     "bypass": (lambda x: F.lit(999), True),
     "perplexity": (lambda x: F.exp(-F.avg(x)), False),
     "weighted_mean": (lambda x, w: F.sum(x) / F.sum(w), True),
@@ -111,43 +114,86 @@ def majority(df: DataFrame, keys: list[str], vote: str, value: str, order: str)
     return votes.withColumn("_rank", F.row_number().over(by)).filter("_rank = 1").select(*keys, vote, "votes", "value")
 
 
-def bootstrap_best_worst(df: DataFrame, keys: list[str], value: str, order: str, sizes: list[int], resamples: int = 1000, seed: int = 42) -> DataFrame:
-    """(keys, k, best_mean, best_std, worst_mean, worst_std): k draws with replacement, over and over, reseeded for each k.
+def best_worst(df: DataFrame, keys: list[str], value: str, order: str, sizes: list[int]) -> DataFrame:
+    """(keys, k, best_mean, best_std, worst_mean, worst_std) of the best and worst of k draws with replacement.
 
-    A group is one prompt's rollouts; the draws of a group are made in one task.
+    What resampling estimates has a closed form: of n sorted values, the largest of k draws is at most the i-th with
+    probability (i / n) ** k. A group is one prompt's rollouts.
     """
-    schema = ", ".join(f"{k} {t}" for k, t in df.select(*keys).dtypes) + ", k int, best_mean double, best_std double, worst_mean double, worst_std double"
-
-    def draw(rows: pd.DataFrame) -> pd.DataFrame:
-        values = rows.sort_values(order)[value].to_numpy(float)
-        out = []
-        for k in sizes:
-            picks = values[np.random.RandomState(seed).randint(0, len(values), (resamples, k))]
-            out.append((*rows.iloc[0][keys], k, picks.max(1).mean(), picks.max(1).std(), picks.min(1).mean(), picks.min(1).std()))
-        return pd.DataFrame(out, columns=[*keys, "k", "best_mean", "best_std", "worst_mean", "worst_std"])
-
-    return df.select(*keys, value, order).groupBy(*keys).applyInPandas(draw, schema)
+    own = W.partitionBy(*keys)
+    d = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"), F.row_number().over(own.orderBy(value, order)).alias("_i"), F.count(F.lit(1)).over(own).alias("_n"))
+    d = d.withColumn("k", F.explode(F.array(*map(F.lit, sizes))))
+    i, n, k = F.col("_i"), F.col("_n"), F.col("k")
+    best = F.pow(i / n, k) - F.pow((i - 1) / n, k)
+    worst = F.pow((n - i + 1) / n, k) - F.pow((n - i) / n, k)
+    mean = lambda p: F.sum(F.col("_x") * p)
+    std = lambda p: F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("_x") * F.col("_x") * p) - F.pow(mean(p), F.lit(2))))
+    return d.groupBy(*keys, "k").agg(mean(best).alias("best_mean"), std(best).alias("best_std"), mean(worst).alias("worst_mean"), std(worst).alias("worst_std"))
+
+
+def poisson(u: Column) -> Column:
+    """The number with mean 1 that a uniform u of [0, 1) stands for: its inverse distribution, up to 8."""
+    total, part, out = 0.0, math.exp(-1.0), F.lit(0)
+    for n in range(1, 9):
+        total += part
+        out = F.when(u >= total, n).otherwise(out)
+        part /= n
+    return out
 
 
-def bootstrap_stderr(df: DataFrame, value: str, key: str, resamples: int = 1000, seed: int = 1234) -> DataFrame:
+def bootstrap_stderr(df: DataFrame, value: str, key: str, resamples: int = 100, seed: int = 1234) -> DataFrame:
     """(stderr): the sample std of the mean over Poisson resamples.
 
-    Each row draws its number of copies in each resample from its own hashed seed; tasks send sums, one pair a resample.
+    Each row's number of copies in a resample comes from a hash of its key and the resample, so that rows never gather;
+    tasks send one pair of sums a resample.
     """
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, weight = np.zeros(resamples), np.zeros(resamples)
-        for rows in batches:
-            for x, k in zip(rows[value].to_numpy(float), rows["_seed"].to_numpy(), strict=True):
-                n = np.random.default_rng([seed, k & 0xFFFFFFFF]).poisson(1.0, resamples)
-                total += n * x
-                weight += n
-        yield pd.DataFrame({"resample": np.arange(resamples), "total": total, "weight": weight})
-
-    sums = df.filter(F.col(value).isNotNull()).select(value, F.xxhash64(key).alias("_seed")).mapInPandas(draw, "resample int, total double, weight double")
-    means = sums.groupBy("resample").agg((F.sum("total") / F.sum("weight")).alias("mean"))
+    d = df.filter(F.col(value).isNotNull()).select(value, key, F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col("resample").cast("string"), F.lit(":"), F.col(key).cast("string")).cast("binary"))
+    d = d.withColumn("_u", F.conv(F.left(h, F.lit(13)), 16, 10).cast("long") / float(1 << 52)).withColumn("_n", poisson(F.col("_u")))
+    means = d.groupBy("resample").agg((F.sum(F.col(value) * F.col("_n")) / F.sum("_n")).alias("mean"))
     return means.agg(F.stddev_samp("mean").alias("stderr"))
 
 
+def described(name: str, x: Column) -> list[Column]:
+    """mean, max and min of x, named name/mean and so on with underscores."""
+    return [F.avg(x).alias(f"{name}_mean"), F.max(x).alias(f"{name}_max"), F.min(x).alias(f"{name}_min")]
+
+
+def batch_metrics(df: DataFrame, keys: list[str], longest: int) -> DataFrame:
+    """Descriptive statistics of a batch (score, reward, advantage, return_, value, length, prompt_length), in one aggregate.
+
+    Rows without response (length 0) are aborted; the non-aborted ones have statistics of their own.
+    """
+    alive = lambda c: F.when(F.col("length") > 0, F.col(c))
+    out = [x for c in ("score", "reward", "advantage", "return_", "length", "prompt_length") for x in described(c, F.col(c))]
+    out += [x for c in ("score", "length") for x in described(f"{c}_alive", alive(c))]
+    clip = lambda x: F.avg((x == longest).cast("int"))
+    return df.groupBy(*keys).agg(*out, clip(F.col("length")).alias("clip_ratio"), clip(alive("length")).alias("clip_ratio_alive"), F.avg((F.col("length") == 0).cast("int")).alias("aborted_ratio"), explained_variance(F.col("value"), F.col("return_")).alias("explained_variance"))
+
+
+def validation_sections(df: DataFrame) -> DataFrame:
+    """df (data_source, var, metric) with section: val-core for mean, maj and best metrics at the largest N of a source's core variable, else val-aux.
+
+    The core variable is acc where a source has it, else reward. N is the number behind @ in the metric's name.
+    """
+    n = F.regexp_extract("metric", r"@(\d+)", 1).cast("int")
+    d = df.withColumn("_n", n)
+    # A few rows for each source.
+    core = F.when(F.max((F.col("var") == "acc").cast("int")).over(W.partitionBy("data_source")) == 1, "acc").otherwise("reward")
+    most = F.max("_n").over(W.partitionBy("data_source", "var"))
+    first = F.regexp_like("metric", F.lit("^(mean|maj|best)"))
+    return d.withColumn("section", F.when((F.col("var") == core) & first & (F.col("_n") == most), "val-core").otherwise("val-aux")).drop("_n")
+
+
+def ordered_hash(df: DataFrame, key: str, order: str, text: Column, run: int = 1000) -> DataFrame:
+    """(key, task_hash): the SHA-256 of the rows' hashes in their order, by way of the hashes of runs of rows, so that no row holds a whole key."""
+    d = ranked(ranges(df, order, "_b"), [key], "_b", [F.col(order)], "_k")
+    d = d.select(key, F.floor(F.col("_k") / run).alias("_run"), F.struct(F.col("_k"), F.sha2(text, 256).alias("h")).alias("_s"))
+    joined = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda r: r["h"]), ""), 256)
+    runs = d.groupBy(key, "_run").agg(joined("_s").alias("h"))
+    return runs.groupBy(key).agg(joined(F.struct("_run", "h")).alias("task_hash"))
+
+
 def ngram_counts(pred: Column, gold: Column, n: int) -> tuple[Column, Column]:
     """(matches, candidates) of word n-grams, each counted at most as often as in gold."""
     def grams(x: Column) -> Column:
@@ -173,3 +219,39 @@ def bleu(df: DataFrame, pred: str, gold: str, order: int = 4) -> DataFrame:
     full = F.least(F.lit(0.0), 1 - F.col("_gold_words") / F.col("_words"))
     some = F.least(*[F.col(f"m{n}") for n in range(1, order + 1)]) > 0
     return d.select(F.when(some, 100 * F.exp(mean + full)).otherwise(0.0).alias("bleu"))
+
+
+def chrf(df: DataFrame, pred: str, gold: str, order: int = 6, beta: float = 2.0) -> DataFrame:
+    """(chrf) of the corpus, 0 to 100: the F score of character n-grams without white space, precisions and recalls averaged over n-grams that both sides have."""
+    def grams(x: Column, n: int) -> Column:
+        x = F.regexp_replace(x, r"\s+", "")
+        return F.when(F.length(x) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - n + 1, F.lit(1))), lambda i: F.substring(x, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    # The counts of each side's n-grams meet by row and n-gram: grouped aggregation instead of nested loops over a text.
+    d = df.select(pred, gold, F.monotonically_increasing_id().alias("_row"))
+    sides = [d.select("_row", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), grams(F.col(c), n).alias("g")) for n in range(1, order + 1)])).alias("x")).select("_row", "x.n", F.explode("x.g").alias("g"), F.lit(c == pred).alias("p")) for c in (pred, gold)]
+    both = sides[0].unionByName(sides[1]).groupBy("_row", "n", "g").agg(F.count_if(F.col("p")).alias("a"), F.count_if(~F.col("p")).alias("b"))
+    sums = both.groupBy("n").agg(F.sum(F.least("a", "b")).alias("m"), F.sum("a").alias("a"), F.sum("b").alias("b")).filter("a > 0 and b > 0")
+    f = sums.agg(F.avg(F.col("m") / F.col("a")).alias("p"), F.avg(F.col("m") / F.col("b")).alias("r"))
+    p, r, w = F.col("p"), F.col("r"), beta * beta
+    return f.select(F.when(p + r > 0, 100 * (1 + w) * p * r / (w * p + r)).otherwise(0.0).alias("chrf"))
+
+
+def ter(df: DataFrame, pred: str, gold: str) -> DataFrame:
+    """(ter) of the corpus, 0 to 100 and more: word edits over reference words. Without the shifts of whole phrases, which count as edits here."""
+    words = lambda x: F.filter(F.split(F.trim(x), r"\s+"), lambda w: w != "")
+
+    def edits(p: Column, g: Column) -> Column:
+        """The last cell of the edit distance table, built a row at a time."""
+        start = F.transform(F.concat(F.array(F.lit("")), g), lambda _, j: j)
+
+        def row(above: Column, word: Column) -> Column:
+            cells = F.zip_with(F.zip_with(F.slice(above, 1, F.size(g)), F.slice(above, 2, F.size(g)), lambda a, b: F.struct(a.alias("d"), b.alias("u"))), g, lambda c, w: F.struct(F.least(c["d"] + F.when(w == word, 0).otherwise(1), c["u"] + 1).alias("x")))
+            first = F.array(F.get(above, 0) + 1)
+            return F.aggregate(cells, first, lambda out, c: F.concat(out, F.array(F.least(c["x"], F.element_at(out, -1) + 1))))
+
+        return F.element_at(F.aggregate(p, start, row), -1)
+
+    d = df.select(words(F.col(pred)).alias("p"), words(F.col(gold)).alias("g"))
+    d = d.select(edits(F.col("p"), F.col("g")).alias("e"), F.size("g").alias("n"))
+    return d.agg(F.when(F.sum("n") > 0, 100 * F.sum("e") / F.sum("n")).otherwise(F.when(F.sum("e") > 0, 100.0).otherwise(0.0)).alias("ter"))

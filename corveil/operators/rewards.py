@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corveil.functions import answers as A
 from corveil.functions import text as T
 
 BOXED_TYPES = ("numeric", "string_match", "multiple_choice", "number_list", "list_string_match", "counting", "search", "web_action")
@@ -20,7 +21,7 @@ def format_reward(response: Column, reward_type: Column | None = None) -> Column
     fine = once[0] & once[1] & once[2] & once[3] & shape & T.not_blank(think).isNotNull() & T.not_blank(answer).isNotNull()
     score = F.lit(1.0)
     if reward_type is not None:
-        boxes = T.boxed(answer)
+        boxes = A.boxed(answer)
         half = reward_type.isin(*BOXED_TYPES) & ~((F.size(boxes) == 1) & (F.get(boxes, 0) != ""))
         half = half | reward_type.isin("grounding", "clicking") & (T.occurrences(answer, "\\boxed") > 1)
         score = F.when(half, 0.5).otherwise(1.0)
@@ -80,8 +81,11 @@ def accuracy(pred: Column, gold: Column, reward_type: Column) -> Column:
     for alias, name in ALIASES.items():
         kind = F.when(kind == alias, name).otherwise(kind)
     answer = T.extract_answer(pred)
-    box = F.get(T.boxed(answer), 0)
-    answer = F.coalesce(box, answer)
+    box = F.get(A.boxed(answer), 0)
+    return T.let(scored, F.coalesce(box, answer), gold, kind)
+
+
+def scored(answer: Column, gold: Column, kind: Column) -> Column:
     numeric = (T.grade_numeric(T.to_number(answer), T.to_number(gold)) == 1).cast("double")
     default = (F.lower(F.trim(answer)) == F.lower(F.trim(gold))).cast("double")
     return (

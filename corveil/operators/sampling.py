@@ -5,10 +5,22 @@ from __future__ import annotations
 import json
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corveil.operators.batch import numbered, ranged_sum, ranges, ranked
+
+
+def hashed(key: Column, seed: int) -> Column:
+    """The MD5 of seed:key, which orders rows at random but always alike."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
+
+
+def fraction(h: Column) -> Column:
+    """A hash as a number of [0, 1), by its first 13 hexadecimal digits."""
+    return F.conv(F.left(h, F.lit(13)), 16, 10).cast("long") / float(1 << 52)
+
 
 def parse_weights(text: str) -> dict[str, float]:
     """name:weight,... or a JSON object; weights over 0, normalised; an error if none is left."""
@@ -44,9 +56,12 @@ def domain_batches(df: DataFrame, domain: str, key: str, weights: dict[str, floa
         first += share[k]
     # One row per domain with a weight.
     plan = F.broadcast(df.sparkSession.createDataFrame(table, f"{domain} string, quota long, first long, n long"))
-    order = F.xxhash64(F.lit(seed + epoch), F.col(key)) if shuffled else F.col(key)
-    rank = F.row_number().over(W.partitionBy(domain).orderBy(order, key)) - 1
-    rows = df.select(domain, key).join(plan, domain).withColumn("_r", rank)
+    rows = df.select(domain, key).join(plan, domain)
+    if shuffled:
+        rows = rows.withColumn("_h", hashed(F.col(key), seed + epoch)).withColumn("_b", F.substring("_h", 1, 3))
+        rows = ranked(rows, [domain], "_b", [F.col("_h"), F.col(key)], "_r")
+    else:
+        rows = ranked(ranges(rows, key, "_b"), [domain], "_b", [F.col(key)], "_r")
     # A row comes again every n places of its domain.
     need = F.col("quota") * batches
     times = F.ceil((need - F.col("_r")) / F.col("n"))
@@ -55,34 +70,47 @@ def domain_batches(df: DataFrame, domain: str, key: str, weights: dict[str, floa
     return rows.select(domain, key, F.floor(F.col("_place") / F.col("quota")).cast("long").alias("batch"), (F.col("first") + F.col("_place") % F.col("quota")).cast("long").alias("slot"))
 
 
-def few_shot(docs: DataFrame, pool: DataFrame, key: str, k: int, seed: int = 1234, buckets: int = 64) -> DataFrame:
-    """(key, shot, example): k examples of the pool for each document, never itself.
+def few_shot(docs: DataFrame, pool: DataFrame, key: str, k: int, seed: int = 1234) -> DataFrame:
+    """(key, shot, example): k examples of the pool for each document, never itself; fewer if the pool has fewer.
 
-    The pool's first candidates by hash serve all documents that hash to a bucket: k + 1 examples a bucket.
+    The pool lies in a circle in the order of a hash. Each document starts at a place of its own and takes the next k
+    examples that aren't itself: an equi-join of k + 1 places a document.
     """
-    ring = pool.select(F.col(key).alias("example"), F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("_b"))
-    h = F.xxhash64(F.lit(seed), "_b", "example")
-    rank = F.row_number().over(W.partitionBy("_b").orderBy(h, "example"))
-    best = ring.withColumn("_k", rank).filter(F.col("_k") <= k + 1).groupBy("_b").agg(F.array_sort(F.collect_list(F.struct("_k", "example"))).alias("shots"))
-    d = docs.select(key, F.pmod(F.xxhash64(F.lit(seed), key), F.lit(buckets)).cast("int").alias("_b"))
-    d = d.join(F.broadcast(best), "_b").withColumn("shots", F.slice(F.filter("shots", lambda s: s["example"] != F.col(key)), 1, k))
-    return d.select(key, F.posexplode("shots").alias("shot", "s")).select(key, "shot", F.col("s.example").alias("example"))
+    circle = numbered(pool.select(F.col(key).alias("example")).withColumn("_h", fraction(hashed(F.col("example"), seed))), ["_h", "example"], "_at").select("_at", "example")
+    n = pool.count()
+    start = F.floor(fraction(hashed(F.col(key), seed + 1)) * n)
+    places = docs.select(key, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(min(k, n - 1))), lambda j: (start + j) % n)).alias("_j", "_at")) if n else docs.select(key, F.lit(0).alias("_j"), F.lit(None).cast("long").alias("_at"))
+    found = places.join(circle, "_at").filter(F.col("example") != F.col(key))
+    # At most k + 1 rows of a document.
+    shot = F.row_number().over(W.partitionBy(key).orderBy("_j")) - 1
+    return found.withColumn("shot", shot).filter(F.col("shot") < k).select(key, "shot", "example")
 
 
 def weighted_draws(df: DataFrame, key: str, weight: str, n: int, power: float = 1.0, seed: int = 0) -> DataFrame:
     """(draw, key): n draws with replacement in proportion to weight ** power.
 
     Draws are points of [0, 1), matched with the rows' intervals of the cumulative weights; both sides are cut into
-    cells, so that the match is an equi-join.
+    cells, so that the match is an equi-join. The order of the rows is that of a hash of their key.
     """
-    w = F.greatest(F.pow(F.col(weight), F.lit(power)), F.lit(0.0))
-    d = df.select(key, w.alias("_w"), F.pmod(F.xxhash64(key), F.lit(256)).alias("_b"))
-    sums = d.groupBy("_b").agg(F.sum("_w").alias("_s"))
-    ahead = sums.select("_b", (F.sum("_s").over(W.orderBy("_b")) - F.col("_s")).alias("_ahead"), F.sum("_s").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("_all"))
-    own = F.sum("_w").over(W.partitionBy("_b").orderBy(key).rowsBetween(W.unboundedPreceding, W.currentRow))
-    d = d.withColumn("_upto", own).join(F.broadcast(ahead), "_b").filter("_w > 0")
-    d = d.select(key, ((F.col("_ahead") + F.col("_upto") - F.col("_w")) / F.col("_all")).alias("low"), ((F.col("_ahead") + F.col("_upto")) / F.col("_all")).alias("high"))
+    d = df.select(key, F.greatest(F.pow(F.col(weight), F.lit(power)), F.lit(0.0)).alias("_w"), hashed(F.col(key), seed).alias("_h")).filter("_w > 0")
+    d = ranged_sum(d.withColumn("_b", F.substring("_h", 1, 3)), "_w", "_b", [F.col("_h"), F.col(key)], "_upto", "_all")
+    d = d.select(key, ((F.col("_upto") - F.col("_w")) / F.col("_all")).alias("low"), (F.col("_upto") / F.col("_all")).alias("high"))
     cells = max(1, min(n, 1 << 16))
     d = d.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * cells).cast("long"), F.floor(F.least(F.col("high"), F.lit(1 - 1e-12)) * cells).cast("long"))))
-    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id"), 11) / float(1 << 53)).alias("u")).withColumn("cell", F.floor(F.col("u") * cells).cast("long"))
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), fraction(hashed(F.col("id"), seed)).alias("u")).withColumn("cell", F.floor(F.col("u") * cells).cast("long"))
     return draws.join(d, "cell").filter("u >= low and u < high").select("draw", key)
+
+
+def curriculum(weights: DataFrame, batch: DataFrame, domain: str, score: str, rate: float = 0.5, floor: float = 0.01) -> DataFrame:
+    """(domain, weight): a sampler's weights after a batch, moved by `rate` towards each domain's share of what is left to learn (1 - mean score).
+
+    Domains that the batch lacks keep their weight; none falls below `floor` before all are scaled to sum 1. Called in
+    foreachBatch, it keeps the sampler's state in a table.
+    """
+    seen = batch.groupBy(domain).agg((1 - F.avg(score)).alias("_left"))
+    d = weights.join(F.broadcast(seen), domain, "left")
+    whole = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    target = F.col("_left") / F.sum("_left").over(whole) * F.sum(F.when(F.col("_left").isNotNull(), F.col("weight"))).over(whole)
+    moved = F.greatest(F.when(F.col("_left").isNull() | target.isNull(), F.col("weight")).otherwise(F.col("weight") + rate * (target - F.col("weight"))), F.lit(floor))
+    # One row per domain.
+    return d.withColumn("weight", moved).withColumn("weight", F.col("weight") / F.sum("weight").over(whole)).select(domain, "weight")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corveil.functions import parse
-from corveil.operators import batch, formatting
+from corveil.functions import answers, parse
+from corveil.operators import batch, formatting, metrics
 from corveil.plans.catalog import query, table
 from corveil.plans.scoring import BOXES, box_columns
 
@@ -35,13 +35,14 @@ def box_and_point_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", four[0].alias("x1"), four[3].alias("y2"), parse.point(p)[0].alias("px"), F.coalesce(F.size(parse.boxes(b)), F.lit(0)).cast("int").alias("boxes"))
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'Z' END AS choice FROM part""")
+@query("""SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'B' WHEN 2 THEN 'A' WHEN 3 THEN 'B' WHEN 4 THEN NULL WHEN 5 THEN 'Z' ELSE NULL END AS choice FROM part""")
 def infer_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fn_choices_from_text, fn_choice_infer, fn_mcq_letter."""
-    k = F.col("p_partkey") % 4
-    options = parse.choices(F.lit("Which?\nA. red house\nB. blue boat\n"))
-    answer = F.when(k == 0, "The answer is A").when(k == 1, "clearly the Blue boat here").when(k == 2, "A or B").otherwise("neither")
-    return table(spark, sf_dir, "part").select("p_partkey", parse.infer_choice(answer, options).alias("choice"))
+    """fn_choices_from_text, fn_choice_infer, fn_mcq_letter: letters, the article A, texts, refusals, several letters."""
+    k = F.col("p_partkey") % 7
+    options = parse.choices(F.concat(F.lit("Which?\nA. red "), "p_brand", F.lit("\nB. blue "), "p_brand", F.lit("\n")))
+    said = F.when(k == 0, "The answer is A").when(k == 1, F.concat(F.lit("clearly the Blue "), "p_brand", F.lit(" here"))).when(k == 2, "(A)").when(k == 3, "I take B, as said").when(k == 4, "A or B")
+    said = said.when(k == 5, "Cannot determine the answer, B").otherwise("neither")
+    return table(spark, sf_dir, "part").select("p_partkey", answers.infer_option(said, options).alias("choice"))
 
 
 @query("""SELECT o_orderkey, o_custkey AS first, o_orderkey AS last, o_custkey % 2 = 1 OR contains(o_custkey::VARCHAR, '1') AS binary_yes, least(greatest(o_custkey, 1), 10)::DOUBLE AS clamped FROM orders""")
@@ -158,11 +159,11 @@ def platform_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.agg(F.round(F.avg("hit"), 6).alias("accuracy"), F.count(F.lit(1)).alias("n")).select(F.coalesce("bucket", F.lit("overall")).alias("bucket"), "accuracy", "n")
 
 
-@query("""SELECT lang, sha256(string_agg(sha256(doc_id || source), '' ORDER BY doc_id)) AS task_hash FROM documents GROUP BY lang""")
+@query("""WITH n AS (SELECT lang, sha256(doc_id || source) AS h, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS k FROM documents), r AS (SELECT lang, k // 1000 AS run, sha256(string_agg(h, '' ORDER BY k)) AS h FROM n GROUP BY 1, 2)
+SELECT lang, sha256(string_agg(h, '' ORDER BY run)) AS task_hash FROM r GROUP BY lang""")
 def task_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """agg_task_hash: the hash of the ordered sample hashes of a task."""
-    rows = F.array_sort(F.collect_list(F.struct("doc_id", F.sha2(F.concat(F.col("doc_id").cast("string"), "source"), 256).alias("h"))))
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.sha2(F.array_join(F.transform(rows, lambda r: r["h"]), ""), 256).alias("task_hash"))
+    """agg_task_hash: the hash of a task's ordered sample hashes, by way of runs of a thousand."""
+    return metrics.ordered_hash(table(spark, sf_dir, "documents"), "lang", "doc_id", F.concat(F.col("doc_id").cast("string"), "source"))
 
 
 @query("""WITH m AS (SELECT user_id, event_type, greatest(-1, least(1, sum(value / 50) / count(*) * CASE event_type WHEN 'click' THEN 0.5 ELSE -0.25 END)) AS part FROM events GROUP BY 1, 2) SELECT user_id, round(sum(part), 6) AS reward FROM m GROUP BY user_id""")
@@ -196,12 +197,15 @@ def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "source").join(hit, "doc_id", "left_anti")
 
 
-@query("""SELECT doc_id, CASE WHEN source = (SELECT max(source) FROM documents) THEN 'val-core' ELSE 'val-aux' END AS section, count(*) OVER (PARTITION BY source) AS n FROM documents""")
+@query("""WITH m AS (SELECT DISTINCT event_type AS data_source, var, name || '@' || n || CASE WHEN name IN ('best', 'maj') THEN '/mean' ELSE '' END AS metric, name, n FROM events, (VALUES ('acc'), ('reward'), ('len')) v(var), (VALUES ('mean'), ('std'), ('best'), ('maj'), ('worst')) w(name), (VALUES (2), (8), (16)) x(n) WHERE NOT (event_type = 'view' AND var = 'acc'))
+SELECT data_source, var, metric, CASE WHEN n = 16 AND name IN ('mean', 'best', 'maj') AND var = CASE WHEN data_source = 'view' THEN 'reward' ELSE 'acc' END THEN 'val-core' ELSE 'val-aux' END AS section FROM m""")
 def validation_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """agg_val_section: core metrics are those of the largest name."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source")
-    top = d.agg(F.max("source").alias("top"))
-    return d.join(F.broadcast(top)).select("doc_id", F.when(F.col("source") == F.col("top"), "val-core").otherwise("val-aux").alias("section"), F.count(F.lit(1)).over(W.partitionBy("source")).alias("n"))
+    """agg_val_section: core are the mean, best and maj metrics at the largest N of acc, or of reward where a source has no acc."""
+    d = table(spark, sf_dir, "events").select(F.col("event_type").alias("data_source")).distinct()
+    each = lambda *v: F.explode(F.array(*map(F.lit, v)))
+    d = d.select("data_source", each("acc", "reward", "len").alias("var")).filter("not (data_source = 'view' and var = 'acc')").withColumn("name", each("mean", "std", "best", "maj", "worst")).withColumn("n", each("2", "8", "16"))
+    metric = F.concat("name", F.lit("@"), "n", F.when(F.col("name").isin("best", "maj"), "/mean").otherwise(""))
+    return metrics.validation_sections(d.select("data_source", "var", metric.alias("metric")))
 
 
 @query(r"""SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || ', ' || p_brand), '[!-/:-@\[-`{-~]', '', 'g'), '[0-9]', '', 'g') AS exact, (lower(p_name) = lower(p_type))::INTEGER AS hit FROM part""")

@@ -210,18 +210,18 @@ def explode_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'id' || doc_id ELSE source || '_' || lang || '_' || doc_id END AS id, source AS data_source, 1 AS n_messages, left(text, 20) AS question, lang AS reward_type, try_cast(CASE WHEN doc_id % 7 = 0 THEN 'bad' ELSE '0.05' END AS DOUBLE) AS tolerance, '' AS ability FROM documents
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'id' || doc_id ELSE source || '_' || lang || '_' || doc_id END AS id, source AS data_source, 1 AS n_messages, md5(text) AS question_md5, lang AS reward_type, try_cast(CASE WHEN doc_id % 7 = 0 THEN 'bad' ELSE '0.05' END AS DOUBLE) AS tolerance, '' AS ability FROM documents
 """)
 def format_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """prj_format_row, prj_reward_model: canonical training rows from nested columns."""
     i = F.col("doc_id")
     none = F.lit(None).cast("string")
     row = formatting.format_row(
-        F.col("source"), F.col("lang"), i, F.when(i % 2 == 0, F.concat(F.lit("id"), i.cast("string"))), F.col("source"), F.array().cast(formatting.MESSAGES), none, F.lit("rule"), F.col("lang"), F.substring("text", 1, 20), F.col("lang"), F.col("lang"),
+        F.col("source"), F.col("lang"), i, F.when(i % 2 == 0, F.concat(F.lit("id"), i.cast("string"))), F.col("source"), F.array().cast(formatting.MESSAGES), none, F.lit("rule"), F.col("lang"), F.col("text"), F.col("lang"), F.col("lang"),
         F.when(i % 7 == 0, "bad").otherwise("0.05"),
     )
     d = table(spark, sf_dir, "documents").select("doc_id", row.alias("r"))
-    return d.select("doc_id", "r.id", "r.data_source", F.size("r.prompt").alias("n_messages"), F.col("r.extra_info.question").alias("question"), F.col("r.extra_info.reward_type").alias("reward_type"), F.col("r.extra_info.tolerance").alias("tolerance"), "r.ability")
+    return d.select("doc_id", "r.id", "r.data_source", F.size("r.prompt").alias("n_messages"), F.md5(F.col("r.extra_info.question").cast("binary")).alias("question_md5"), F.col("r.extra_info.reward_type").alias("reward_type"), F.col("r.extra_info.tolerance").alias("tolerance"), "r.ability")
 
 
 @query("SELECT doc_id, sha256(doc_id || '|' || source || '|' || text) AS doc_hash, md5(text) AS path_md5 FROM documents")
@@ -338,11 +338,12 @@ def distinct_and_equal_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, lang, (doc_id % 10 < 3) AS in_train FROM documents WHERE regexp_matches(source, '^src1.*$')
+SELECT doc_id, source GLOB 'src1*' AS star, source GLOB 's?c[0-4]' AS classes, source GLOB '*[!0-4]' AS negated, (doc_id % 10 < 3) AS in_train FROM documents WHERE source GLOB 'src*'
 """)
 def glob_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """flt_glob, flt_select_idxs: names by a wildcard, and a mask."""
-    return table(spark, sf_dir, "documents").filter(F.col("source").like("src1%")).select("doc_id", "lang", (F.col("doc_id") % 10 < 3).alias("in_train"))
+    """flt_glob, flt_select_idxs: names by wildcards, and a mask."""
+    d = table(spark, sf_dir, "documents").filter(T.globbed(F.col("source"), "src*"))
+    return d.select("doc_id", *[T.globbed(F.col("source"), p).alias(n) for n, p in (("star", "src1*"), ("classes", "s?c[0-4]"), ("negated", "*[!0-4]"))], (F.col("doc_id") % 10 < 3).alias("in_train"))
 
 
 @query("""
@@ -358,20 +359,35 @@ def domain_quota_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.domain_batches(table(spark, sf_dir, "documents"), "lang", "doc_id", weights, 32, shuffled=False)
 
 
-@query()
+@query("""
+WITH q AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang),
+t AS (SELECT * FROM (VALUES ('de', 8::BIGINT, 0::BIGINT), ('en', 16, 8), ('es', 4, 24), ('fr', 4, 28)) v(lang, quota, first)),
+b AS (SELECT (sum(n) // 32)::BIGINT AS batches FROM q), r AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5('8:' || doc_id), doc_id) - 1 AS k FROM documents),
+p AS (SELECT r.lang, doc_id, quota, first, unnest(range(k, quota * batches, n)) AS place FROM r JOIN q ON r.lang = q.lang JOIN t ON t.lang = r.lang, b)
+SELECT lang, doc_id, (place // quota)::BIGINT AS batch, (first + place % quota)::BIGINT AS slot FROM p
+""")
 def domain_quota_batch_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """smp_domain_batch with hashed order."""
     return sampling.domain_batches(table(spark, sf_dir, "documents"), "lang", "doc_id", sampling.parse_weights("de:2,en:4,es:1,fr:1"), 32, seed=7, epoch=1)
 
 
-@query()
+@query("""
+WITH c AS (SELECT doc_id AS example, row_number() OVER (ORDER BY ('0x' || left(md5('1234:' || doc_id), 13))::BIGINT, doc_id) - 1 AS at, count(*) OVER () AS n FROM documents),
+s AS (SELECT doc_id, j, (floor(('0x' || left(md5('1235:' || doc_id), 13))::BIGINT / 4503599627370496.0::DOUBLE * n)::BIGINT + j) % n AS at FROM documents, range(0, 4) t(j), (SELECT max(n) AS n FROM c)),
+f AS (SELECT doc_id, example, row_number() OVER (PARTITION BY doc_id ORDER BY j) - 1 AS shot FROM s JOIN c ON s.at = c.at WHERE example <> doc_id)
+SELECT doc_id, shot::INTEGER AS shot, example FROM f WHERE shot < 3
+""")
 def few_shot_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """smp_fewshot: three examples for each document, never itself."""
     d = table(spark, sf_dir, "documents").select("doc_id")
     return sampling.few_shot(d, d, "doc_id", 3)
 
 
-@query()
+@query("""
+WITH w AS (SELECT event_id, value * value AS w, md5('3:' || event_id) AS h FROM events WHERE value > 0), c AS (SELECT event_id, w, sum(w) OVER (ORDER BY h, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(w) OVER () AS total FROM w),
+d AS (SELECT k AS draw, ('0x' || left(md5('3:' || k), 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM range(0, 10000) t(k))
+SELECT draw, event_id FROM d JOIN c ON u >= (upto - w) / total AND u < upto / total
+""")
 def weighted_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """smp_pf_ppo: draws with replacement in proportion to a power of the score."""
     return sampling.weighted_draws(table(spark, sf_dir, "events").select("event_id", "value"), "event_id", "value", 10_000, 2.0, 3)

@@ -157,15 +157,14 @@ def kl_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_row.agg(F.round(F.avg("kl"), 6).alias("current_kl"), F.round(F.sum("total"), 2).alias("total_reward"), F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH RECURSIVE d AS (SELECT (row_number() OVER (ORDER BY event_id))::INTEGER AS k, value / 100 AS kl FROM events WHERE event_id < 40),
-s AS (SELECT 0 AS k, 0.2::DOUBLE AS beta UNION ALL SELECT d.k, beta * (1 + greatest(-0.2, least(0.2, kl / 0.5 - 1)) * 64 / 1000) FROM s JOIN d ON d.k = s.k + 1)
-SELECT k AS step, round(beta, 9) AS coefficient FROM s WHERE k > 0""")
+@query("""WITH RECURSIVE d AS (SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id))::INTEGER AS k, value / 100 AS kl FROM events),
+s AS (SELECT DISTINCT user_id, 0 AS k, 0.2::DOUBLE AS beta FROM events UNION ALL SELECT d.user_id, d.k, beta * (1 + greatest(-0.2, least(0.2, kl / 0.5 - 1)) * 64 / 1000) FROM s JOIN d ON d.user_id = s.user_id AND d.k = s.k + 1)
+SELECT user_id, k AS step, round(beta, 9) AS coefficient FROM s WHERE k > 0""")
 def kl_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """kl_adaptive: the coefficient after each step of an ordered series."""
-    e = table(spark, sf_dir, "events").filter("event_id < 40")
+    """kl_adaptive: the coefficient after each step of a run; a user's events are a run."""
     kls = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"] / 100)
-    d = e.agg(losses.adaptive_kl(kls, 0.2, 0.5, 1000.0, 64).alias("b"))
-    return d.select(F.posexplode("b").alias("i", "c")).select((F.col("i") + 1).alias("step"), F.round("c", 9).alias("coefficient"))
+    d = table(spark, sf_dir, "events").groupBy("user_id").agg(losses.adaptive_kl(kls, 0.2, 0.5, 1000.0, 64).alias("b"))
+    return d.select("user_id", F.posexplode("b").alias("i", "c")).select("user_id", (F.col("i") + 1).alias("step"), F.round("c", 9).alias("coefficient"))
 
 
 LOSS_BY_ROW = "round(sum(loss * mask), 5) AS loss"

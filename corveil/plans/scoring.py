@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corveil.functions import constraints
 from corveil.functions import text as T
-from corveil.operators import balance, batch, metrics, responses, rewards
+from corveil.operators import balance, batch, metrics, responses, rewards, search
 from corveil.plans import evaluate
 from corveil.plans.catalog import query, table
 
@@ -17,34 +15,34 @@ from corveil.plans.catalog import query, table
 def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages as tagged responses; some lack a tag, some repeat one, some are blank."""
     c = table(spark, sf_dir, "conversations")
-    head = F.left(F.regexp_replace("text", "[^A-Za-z ]", ""), F.lit(12))
+    head = F.regexp_replace("text", "[^A-Za-z ]", "")
     k = (F.col("conv_id") + F.col("turn")) % 5
     r = F.when(k == 0, F.concat(F.lit("<think>t</think><answer>"), head, F.lit("</answer>"))).when(k == 1, F.concat(F.lit("<think>t</think> <answer>\\boxed{"), head, F.lit("}</answer>")))
     r = r.when(k == 2, F.concat(F.lit("<answer>"), head, F.lit("</answer>"))).when(k == 3, F.concat(F.lit("<think> </think><answer>"), head, F.lit("</answer>"))).otherwise(F.concat(F.lit("<think>t</think><answer>a</answer><answer>"), head, F.lit("</answer>")))
     return c.select("conv_id", "turn", k.alias("k"), head.alias("head"), r.alias("response"))
 
 
-TAGGED = """h AS (SELECT conv_id, turn, (conv_id + turn) % 5 AS k, left(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 12) AS head FROM conversations)"""
+TAGGED = """h AS (SELECT conv_id, turn, (conv_id + turn) % 5 AS k, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS head FROM conversations)"""
 
 
-@query(f"WITH {TAGGED} SELECT conv_id, turn, CASE WHEN k = 1 THEN '\\boxed{{' || head || '}}' WHEN k = 4 THEN 'a' ELSE head END AS answer FROM h")
+@query(f"WITH {TAGGED} SELECT conv_id, turn, CASE WHEN k = 1 THEN '\\boxed{{' || head || '}}' WHEN k = 4 THEN 'a' ELSE trim(head) END AS answer FROM h")
 def answer_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fn_extract_answer."""
     return tagged(spark, sf_dir).select("conv_id", "turn", T.extract_answer(F.col("response")).alias("answer"))
 
 
-@query(f"WITH {TAGGED} SELECT conv_id, turn, CASE WHEN trim(head) = '' AND k <> 1 THEN 0.0 WHEN k = 0 THEN 0.5 WHEN k = 1 THEN CASE WHEN head = '' THEN 0.5 ELSE 1.0 END ELSE 0.0 END::DOUBLE AS reward FROM h")
+@query(f"WITH {TAGGED} SELECT conv_id, turn, CASE WHEN trim(head) = '' AND k <> 1 THEN 0.0 WHEN k = 0 THEN 0.5 WHEN k = 1 THEN CASE WHEN trim(head) = '' THEN 0.5 ELSE 1.0 END ELSE 0.0 END::DOUBLE AS reward FROM h")
 def format_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rw_format for a boxed type."""
     return tagged(spark, sf_dir).select("conv_id", "turn", rewards.format_reward(F.col("response"), F.lit("string_match")).alias("reward"))
 
 
-@query(r"""WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(regexp_replace(regexp_replace(left(text, 200), '(\d),(\d{3})\b', '\1\2', 'g'), '\b(\d+)\.0+\b', '\1', 'g')), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents),
+@query(r"""WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(regexp_replace(regexp_replace(text, '(\d),(\d{3})\b', '\1\2', 'g'), '\b(\d+)\.0+\b', '\1', 'g')), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents),
 k AS (SELECT doc_id, list_filter(w, lambda x: x <> '') AS w, list_filter(w, lambda x: x <> '' AND x NOT IN ('a', 'an', 'the')) AS k FROM w)
-SELECT doc_id, CASE WHEN len(list_filter(k, lambda x: length(x) > 1)) = 0 THEN array_to_string(w, ' ') ELSE array_to_string(k, ' ') END AS normal FROM k""")
+SELECT doc_id, md5(CASE WHEN len(list_filter(k, lambda x: length(x) > 1)) = 0 THEN array_to_string(w, ' ') ELSE array_to_string(k, ' ') END) AS normal_md5 FROM k""")
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fn_norm_text on ASCII."""
-    return table(spark, sf_dir, "documents").select("doc_id", T.normalize_text(F.left("text", F.lit(200))).alias("normal"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalize_text(F.col("text")).cast("binary")).alias("normal_md5"))
 
 
 @query(r"""WITH a AS (SELECT p_partkey, trim(translate(translate('Answer: $' || p_name || ', 5%' || chr(10) || p_brand || '.', chr(10) || chr(9), '  '), '$£€¥%‰,\°', '')) AS x FROM part),
@@ -159,14 +157,14 @@ def optimal_box_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT o_orderpriority AS task, round(exp(-avg(o_totalprice / 200000)), 6) AS perplexity, round(exp(-sum(o_totalprice / 200000) / sum(o_custkey)), 8) AS weighted_ppl, round(-sum(o_totalprice / 200000) / sum(o_custkey) / ln(2.0), 8) AS bits_per_byte,
-round(avg(o_totalprice), 2) AS mean, round(median(o_totalprice), 2) AS median_sorted, 999 AS bypass, round(stddev_pop(o_totalprice), 2) AS pop_std, round(stddev_samp(o_totalprice) / sqrt(count(*)), 4) AS stderr FROM orders GROUP BY 1""")
+round(avg(o_totalprice), 2) AS mean, round(median(o_totalprice), 2) AS median_sorted, list(o_totalprice ORDER BY o_orderkey)[count(*) // 2 + 1] AS median_arrival, 999 AS bypass, round(stddev_pop(o_totalprice), 2) AS pop_std, round(stddev_samp(o_totalprice) / sqrt(count(*)), 4) AS stderr FROM orders GROUP BY 1""")
 def metric_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """agg_mean, agg_median, agg_bypass, agg_perplexity, agg_weighted_mean, agg_weighted_ppl, agg_bits_per_byte, agg_pop_std, agg_mean_stderr."""
     x, p, w = F.col("o_totalprice") / 200000, F.col("o_totalprice"), F.col("o_custkey")
     a = metrics.aggregate
     return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("task")).agg(
         F.round(a("perplexity", x), 6).alias("perplexity"), F.round(a("weighted_perplexity", x, w), 8).alias("weighted_ppl"), F.round(a("bits_per_byte", x, w), 8).alias("bits_per_byte"), F.round(a("mean", p), 2).alias("mean"),
-        F.round(a("median", p), 2).alias("median_sorted"), a("bypass", p).alias("bypass"), F.round(a("pop_std", p), 2).alias("pop_std"), F.round(a("mean_stderr", p), 4).alias("stderr"),
+        F.round(a("sorted_median", p), 2).alias("median_sorted"), a("median", p, F.col("o_orderkey")).alias("median_arrival"), a("bypass", p).alias("bypass"), F.round(a("pop_std", p), 2).alias("pop_std"), F.round(a("mean_stderr", p), 4).alias("stderr"),
     )
 
 
@@ -221,15 +219,21 @@ def reduce_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.reduce_metrics(d).withColumn("value", F.round("value", 6))
 
 
-@query("""SELECT l_returnflag AS split, round(avg(l_quantity), 6) AS score_mean, max(l_quantity) AS score_max, min(l_quantity) AS score_min, round(avg((l_quantity = 50)::INTEGER), 6) AS clip_ratio, round(avg((l_discount = 0)::INTEGER), 6) AS aborted_ratio,
-round(1 - var_samp(l_extendedprice - l_quantity * 1000) / (var_samp(l_extendedprice) + 1e-5), 5) AS explained FROM lineitem GROUP BY 1""")
+BATCH = """b AS (SELECT l_returnflag AS split, l_quantity AS score, l_extendedprice AS reward, l_discount - 0.05 AS advantage, l_extendedprice AS return_, l_quantity * 1000 AS value, CASE WHEN l_discount = 0 THEN 0 ELSE l_quantity::BIGINT END AS length, l_linenumber AS prompt_length FROM lineitem)"""
+DESCRIBED = ", ".join(f"round({f}({c}), 5)::DOUBLE AS {c}_{n}" for c in ("score", "reward", "advantage", "return_", "length", "prompt_length") for f, n in (("avg", "mean"), ("max", "max"), ("min", "min")))
+ALIVE = ", ".join(f"round({f}({c}) FILTER (WHERE length > 0), 5)::DOUBLE AS {c}_alive_{n}" for c in ("score", "length") for f, n in (("avg", "mean"), ("max", "max"), ("min", "min")))
+
+
+@query(f"""WITH {BATCH} SELECT split, {DESCRIBED}, {ALIVE}, round(avg((length = 50)::INTEGER), 5) AS clip_ratio, round(avg((length = 50)::INTEGER) FILTER (WHERE length > 0), 5) AS clip_ratio_alive, round(avg((length = 0)::INTEGER), 5) AS aborted_ratio,
+round(1 - var_samp(return_ - value) / (var_samp(return_) + 1e-5), 5) AS explained_variance FROM b GROUP BY 1""")
 def data_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """agg_data_metrics, flt_non_aborted: descriptive statistics of a batch in one aggregate."""
-    q = F.col("l_quantity")
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("split")).agg(
-        F.round(F.avg(q), 6).alias("score_mean"), F.max(q).alias("score_max"), F.min(q).alias("score_min"), F.round(F.avg((q == 50).cast("int")), 6).alias("clip_ratio"),
-        F.round(F.avg((F.col("l_discount") == 0).cast("int")), 6).alias("aborted_ratio"), F.round(metrics.explained_variance(q * 1000, F.col("l_extendedprice")), 5).alias("explained"),
+    q, p, d = F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_discount")
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("split"), q.alias("score"), p.alias("reward"), (d - 0.05).alias("advantage"), p.alias("return_"), (q * 1000).alias("value"), F.when(d == 0, 0).otherwise(q.cast("long")).alias("length"), F.col("l_linenumber").alias("prompt_length"),
     )
+    out = metrics.batch_metrics(rows, ["split"], 50)
+    return out.select("split", *[F.round(F.col(c).cast("double"), 5).alias(c) for c in out.columns if c != "split"])
 
 
 @query("""WITH t AS (SELECT 'n' || c_nationkey AS task, avg(c_acctbal) AS value, stddev_samp(c_acctbal) / sqrt(count(*)) AS stderr, count(*) AS samples FROM customer GROUP BY 1),
@@ -283,24 +287,58 @@ def pass_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("pass_at_3", F.round(T.pass_at_k(F.col("n"), F.col("c"), 3), 6))
 
 
-@query()
-def bootstrap_best_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """agg_bootstrap, agg_validation: best@k and worst@k of each prompt."""
-    return metrics.bootstrap_best_worst(table(spark, sf_dir, "events"), ["user_id"], "value", "event_id", [2, 4, 8])
+@query("""WITH r AS (SELECT user_id, value AS x, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id)::DOUBLE AS i, count(*) OVER (PARTITION BY user_id)::DOUBLE AS n FROM events),
+p AS (SELECT user_id, k::INTEGER AS k, x, pow(i / n, k) - pow((i - 1) / n, k) AS b, pow((n - i + 1) / n, k) - pow((n - i) / n, k) AS w FROM r, (VALUES (2), (4), (8)) v(k)),
+m AS (SELECT user_id, k, sum(x * b) AS bm, sum(x * x * b) AS bs, sum(x * w) AS wm, sum(x * x * w) AS ws FROM p GROUP BY 1, 2)
+SELECT user_id, k, round(bm, 6) AS best_mean, round(sqrt(greatest(0, bs - bm * bm)), 4) AS best_std, round(wm, 6) AS worst_mean, round(sqrt(greatest(0, ws - wm * wm)), 4) AS worst_std FROM m""")
+def best_worst_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """agg_bootstrap, agg_validation: best@k and worst@k of each prompt, by the closed form of what resampling estimates."""
+    d = metrics.best_worst(table(spark, sf_dir, "events"), ["user_id"], "value", "event_id", [2, 4, 8])
+    return d.select("user_id", "k", *[F.round(c, 6 if c.endswith("mean") else 4).alias(c) for c in ("best_mean", "best_std", "worst_mean", "worst_std")])
 
 
-@query()
+@query("""WITH d AS (SELECT event_id, value, k, ('0x' || left(md5('1234:' || k || ':' || event_id), 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM events, range(0, 100) t(k)),
+c AS (SELECT k, value, CASE WHEN u < 0.36787944117144233 THEN 0 WHEN u < 0.7357588823428847 THEN 1 WHEN u < 0.9196986029286058 THEN 2 WHEN u < 0.9810118431238462 THEN 3 WHEN u < 0.9963401531726563 THEN 4 WHEN u < 0.9994058151824183 THEN 5 WHEN u < 0.999916758850712 THEN 6 WHEN u < 0.9999897508033253 THEN 7 ELSE 8 END AS n FROM d),
+m AS (SELECT k, sum(value * n) / sum(n) AS mean FROM c GROUP BY k) SELECT round(stddev_samp(mean), 8) AS stderr FROM m""")
 def bootstrap_stderr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """agg_bootstrap_stderr by Poisson resamples, which need no gathering of rows."""
-    return metrics.bootstrap_stderr(table(spark, sf_dir, "events"), "value", "event_id", 200)
+    return metrics.bootstrap_stderr(table(spark, sf_dir, "events"), "value", "event_id", 100).select(F.round("stderr", 8).alias("stderr"))
 
 
-@query()
+PAIRS = """p AS (SELECT a.item_id, a.text AS pred, b.text AS gold FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1)"""
+
+
+def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark")
+    return b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("gold")), "item_id")
+
+
+@query(f"""WITH {PAIRS}, w AS (SELECT item_id, string_split(pred, ' ') AS p, string_split(gold, ' ') AS g FROM p),
+x AS (SELECT item_id, n, unnest(range(1, len(p) - n + 2)) AS k, true AS a, p AS w FROM w, range(1, 5) t(n) UNION ALL SELECT item_id, n, unnest(range(1, len(g) - n + 2)), false, g FROM w, range(1, 5) t(n)),
+c AS (SELECT item_id, n, array_to_string(w[k : k + n - 1], ' ') AS gram, count(*) FILTER (WHERE a) AS a, count(*) FILTER (WHERE NOT a) AS b FROM x GROUP BY 1, 2, 3),
+s AS (SELECT n, sum(least(a, b))::DOUBLE AS m, sum(a)::DOUBLE AS c FROM c GROUP BY n), l AS (SELECT sum(len(p))::DOUBLE AS lp, sum(len(g))::DOUBLE AS lg FROM w)
+SELECT round(CASE WHEN (SELECT min(m) FROM s) > 0 THEN 100 * exp((SELECT avg(ln(m / c)) FROM s WHERE m > 0) + least(0, 1 - lg / lp)) ELSE 0 END, 6)::DOUBLE AS bleu FROM l""")
 def corpus_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
     """agg_bleu of each benchmark item against the next."""
-    b = table(spark, sf_dir, "benchmark")
-    gold = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("gold"))
-    return metrics.bleu(b.join(gold, "item_id"), "text", "gold")
+    return metrics.bleu(neighbours(spark, sf_dir), "text", "gold").select(F.round("bleu", 6).alias("bleu"))
+
+
+@query(f"""WITH {PAIRS}, w AS (SELECT item_id, regexp_replace(pred, '[[:space:]]', '', 'g') AS p, regexp_replace(gold, '[[:space:]]', '', 'g') AS g FROM p),
+x AS (SELECT item_id, n, substring(p, k, n) AS gram, true AS a FROM (SELECT item_id, n, p, unnest(range(1, length(p) - n + 2)) AS k FROM w, range(1, 7) t(n)) UNION ALL SELECT item_id, n, substring(g, k, n), false FROM (SELECT item_id, n, g, unnest(range(1, length(g) - n + 2)) AS k FROM w, range(1, 7) t(n))),
+c AS (SELECT item_id, n, gram, count(*) FILTER (WHERE a) AS a, count(*) FILTER (WHERE NOT a) AS b FROM x GROUP BY 1, 2, 3), s AS (SELECT n, sum(least(a, b))::DOUBLE AS m, sum(a) AS a, sum(b) AS b FROM c GROUP BY n),
+f AS (SELECT avg(m / a) AS p, avg(m / b) AS r FROM s) SELECT round(100 * 5 * p * r / (4 * p + r), 6) AS chrf FROM f""")
+def corpus_chrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """agg_chrf of each benchmark item against the next."""
+    return metrics.chrf(neighbours(spark, sf_dir), "text", "gold").select(F.round("chrf", 6).alias("chrf"))
+
+
+@query("""SELECT round(100.0 * sum(CASE WHEN item_id % 3 = 0 THEN 2 WHEN item_id % 3 = 1 THEN 1 ELSE 0 END) / sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))), 6)::DOUBLE AS ter FROM benchmark""")
+def corpus_ter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """agg_ter: items with two words added, one lost or none changed, against themselves."""
+    k = F.col("item_id") % 3
+    words = F.split(F.trim("text"), r"\s+")
+    changed = F.when(k == 0, F.concat(F.lit("xx-added yy-added "), "text")).when(k == 1, F.array_join(F.slice(words, 2, F.size(words)), " ")).otherwise(F.col("text"))
+    return metrics.ter(table(spark, sf_dir, "benchmark").select(changed.alias("pred"), "text"), "pred", "text").select(F.round("ter", 6).alias("ter"))
 
 
 @query("""SELECT doc_id, rep::INTEGER AS rep, doc_id_n * 3 + rep AS interleaved, rep * total + doc_id_n AS tiled FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS doc_id_n, count(*) OVER () AS total FROM documents), range(0, 3) t(rep)""")
@@ -358,24 +396,37 @@ def eos_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("l_orderkey", F.size("x").alias("n"), F.aggregate(batch.eos_mask(F.col("x"), [3, 5]), F.lit(0), lambda t, m: t + m).alias("kept"))
 
 
+def batches(spark: SparkSession, sf_dir: str, size: int = 512) -> DataFrame:
+    """Documents with the number of their batch; a batch has `size` rows, however many a source has."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return batch.split(batch.numbered(d, ["doc_id"]), size).select("doc_id", "n_chars", F.col("_chunk").alias("batch"))
+
+
 @query()
 def karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """bal_kk, agg_seqlen_stats: each source's documents in eight parts of near equal length."""
-    d = balance.balanced(table(spark, sf_dir, "documents"), "source", "n_chars", "doc_id", 8)
-    return balance.load_stats(d, "source", "part", "n_chars")
+    """bal_kk, agg_seqlen_stats: each batch's documents in eight parts of near equal length."""
+    return balance.load_stats(balance.balanced(batches(spark, sf_dir), "batch", "n_chars", "doc_id", 8), "batch", "part", "n_chars")
 
 
 @query()
 def greedy_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """bal_greedy: to the least loaded part, in input order."""
-    d = balance.balanced(table(spark, sf_dir, "documents"), "source", "n_chars", "doc_id", 8, method="greedy")
-    return balance.load_stats(d, "source", "part", "n_chars")
+    return balance.load_stats(balance.balanced(batches(spark, sf_dir), "batch", "n_chars", "doc_id", 8, method="greedy"), "batch", "part", "n_chars")
 
 
 @query()
 def micro_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """bal_micro: micro-batches of a source under a length budget."""
-    return balance.micro_batches(table(spark, sf_dir, "documents"), "source", "n_chars", "doc_id", 30_000)
+    """bal_micro: micro-batches of a batch under a length budget."""
+    return balance.micro_batches(batches(spark, sf_dir), "batch", "n_chars", "doc_id", 30_000)
+
+
+@query("""WITH b AS (SELECT doc_id, n_chars, (row_number() OVER (ORDER BY doc_id) - 1) // 512 AS batch FROM documents) SELECT batch, count(*) AS n, sum(n_chars)::BIGINT AS chars, true AS each_once, true AS near_equal FROM b GROUP BY batch""")
+def balanced_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bal_ranks: a batch reordered so that each of eight workers has equal tokens; every row once, loads within the longest row of each other."""
+    d = balance.rank_order(batches(spark, sf_dir), "batch", "n_chars", "doc_id", 8)
+    load = d.groupBy("batch", "part").agg(F.sum("n_chars").alias("load"), F.count(F.lit(1)).alias("n"), F.max("n_chars").alias("longest"), F.min("place").alias("low"), F.max("place").alias("high"))
+    out = load.groupBy("batch").agg(F.sum("n").alias("n"), F.sum("load").alias("chars"), (F.sum(F.col("high") - F.col("low") + 1) == F.sum("n")).alias("each_once"), (F.max("load") - F.min("load") <= F.max("longest")).alias("near_equal"))
+    return out
 
 
 @query(r"""WITH r AS (SELECT conv_id, list(text ORDER BY turn) AS r FROM conversations GROUP BY conv_id)
@@ -430,36 +481,8 @@ s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(q.e, e.e) /
 SELECT query_id, vec_id, cosine, k::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS k FROM s) WHERE k <= 3""")
 def topk_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src_search: the three nearest vectors of each vector of the stated query set, against all rows."""
-    def nearest(rows: pd.DataFrame, asked: list, vectors, k: int) -> pd.DataFrame:  # noqa: ANN001
-        import numpy as np
-
-        v = np.array(rows["embedding"].tolist(), float)
-        s = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)) @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
-        s = np.round(s, 9)
-        out = []
-        ids = rows["vec_id"].to_numpy()
-        for i, q in enumerate(asked):
-            order = np.lexsort((ids, -s[i]))
-            order = order[ids[order] != q][:k]
-            out += [(q, ids[j], s[i, j]) for j in order]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "cosine"])
-
-    import numpy as np
-
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    # The stated queries are taken in blocks of a fixed size, each against all rows.
-    out, block, last = None, 2048, -1
-    while True:
-        q = e.filter((F.col("vec_id") % 50 == 0) & (F.col("vec_id") > last)).orderBy("vec_id").limit(block).toPandas()
-        if not len(q):
-            break
-        asked, vectors, last = q["vec_id"].tolist(), np.array(q["embedding"].tolist(), float), int(q["vec_id"].iloc[-1])
-        part = e.mapInPandas(lambda it, a=asked, v=vectors: (nearest(rows, a, v, 3) for rows in it), "query_id long, vec_id long, cosine double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, vec_id long, cosine double")
-    by = W.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(by)).filter("rank <= 3")
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return search.nearest(e.filter("id % 50 = 0"), e, 3).select("query_id", F.col("id").alias("vec_id"), "cosine", "rank")
 
 
 @query("""SELECT event_type, (epoch(ts)::BIGINT // 86400)::BIGINT AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -29,10 +29,11 @@ def append_to(rows: DataFrame, path: str, checkpoint: str, transform: Callable[[
     observed and given to on_step.
     """
     def write(batch: DataFrame, step: int) -> None:
-        out = transform(batch).withColumn("step", F.lit(step))
+        seen = Observation()
+        out = transform(batch).withColumn("step", F.lit(step)).observe(seen, F.count(F.lit(1)).alias("rows"))
         out.write.mode("overwrite").parquet(f"{path}/step={step}")
         if on_step:
-            on_step(step, {"rows": batch.sparkSession.read.parquet(f"{path}/step={step}").count()})
+            on_step(step, seen.get)
 
     return rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
@@ -55,3 +56,23 @@ def running_kl(rows: DataFrame, run: str, step: str, kl: str, start: float, targ
         state.update((beta,))
 
     return rows.groupBy(run).applyInPandasWithState(update, "run string, step long, coefficient double", "beta double", "append", GroupStateTimeout.NoTimeout)
+
+
+def cursor(draws: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keeps a sampler's state (domain, cursor, epoch) in a table: each micro-batch of draws (domain, rows, size) moves the cursors on, and a restart finds them there.
+
+    The order of a domain is a hash of seed and epoch, so that cursor and epoch are all there is to restore. A repeated
+    micro-batch writes the same state again, since it starts from that of the step before.
+    """
+    def move(batch: DataFrame, step: int) -> None:
+        spark = batch.sparkSession
+        moved = batch.groupBy("domain").agg(F.sum("rows").alias("rows"), F.max("size").alias("size"))
+        if step:
+            moved = moved.join(spark.read.parquet(f"{path}/step={step - 1}"), "domain", "full")
+        else:
+            moved = moved.withColumns({"cursor": F.lit(0).cast("long"), "epoch": F.lit(0).cast("long")})
+        at = F.coalesce("cursor", F.lit(0)) + F.coalesce("rows", F.lit(0))
+        size = F.coalesce("size", F.lit(None).cast("long"))
+        moved.select("domain", F.when(size.isNull(), F.col("cursor")).otherwise(at % size).alias("cursor"), (F.coalesce("epoch", F.lit(0)) + F.when(size.isNull(), 0).otherwise(F.floor(at / size))).cast("long").alias("epoch")).write.mode("overwrite").parquet(f"{path}/step={step}")
+
+    return draws.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(move).start()
