@@ -71,7 +71,8 @@ class TextModel:
         ends = np.cumsum(sizes)
         rows = np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1])
         total = np.bincount(self.numbers[rows], self.logs[rows] * np.repeat(times, sizes), len(self.languages))
-        total *= min(1.0, EVIDENCE / n)
+        # Where no label has any of the 4-grams, the sums are whole numbers.
+        total = total * min(1.0, EVIDENCE / n)
         return (total - total.max()).tolist(), n
 
 
