@@ -115,8 +115,14 @@ def test_bootstraps(spark):
     error = metrics.bootstrap_stderr(d, "x", "id", 300).first()["stderr"]
     assert error == pytest.approx(math.sqrt(8.25 / 400), rel=0.2)
     groups = d.filter("id < 20").select((F.col("id") % 2).alias("g"), "id", "x")
-    rows = metrics.bootstrap_best_worst(groups, ["g"], "x", "id", [1, 4]).collect()
-    assert len(rows) == 4 and all(r["worst_mean"] <= r["best_mean"] for r in rows)
+    rows = metrics.best_worst(groups, ["g"], "x", "id", [1, 4]).collect()
+    assert len(rows) == 4 and all(r["worst_mean"] <= r["best_mean"] + 1e-9 for r in rows)
+    # Against every possible draw.
+    small = spark.createDataFrame([("a", 1, 3.0), ("a", 2, 1.0), ("a", 3, 1.0), ("a", 4, 7.0)], "g string, id long, x double")
+    r = metrics.best_worst(small, ["g"], "x", "id", [3]).first()
+    best = [max(d) for d in itertools.product([3.0, 1.0, 1.0, 7.0], repeat=3)]
+    worst = [min(d) for d in itertools.product([3.0, 1.0, 1.0, 7.0], repeat=3)]
+    assert (r["best_mean"], r["best_std"], r["worst_mean"], r["worst_std"]) == pytest.approx((np.mean(best), np.std(best), np.mean(worst), np.std(worst)))
 
 
 @pytest.mark.parametrize(
