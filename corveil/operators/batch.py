@@ -186,3 +186,31 @@ def eos_mask(tokens: Column, ends: list[int]) -> Column:
     """1 up to and including the first end token, 0 behind it."""
     at = F.array_min(F.transform(F.array(*map(F.lit, ends)), lambda e: F.nullif(F.array_position(tokens, e), F.lit(0))))
     return F.transform(tokens, lambda _, i: F.when(i < F.coalesce(at, F.size(tokens).cast("long")), 1).otherwise(0))
+
+
+def sft_loss_mask(prompt: Column, response: Column, length: Column) -> Column:
+    """1 where a token is trained on: from the prompt's last token to the one before the response's last, in a sequence of `length` tokens."""
+    first = F.least(prompt, length) - 1
+    last = F.least(prompt + response, length) - 1
+    return F.transform(F.sequence(F.lit(0), length - 1), lambda i: F.when(((prompt > 1) & (i < first)) | (i == last), 0).otherwise(1))
+
+
+def pair_stack(prompt: Column, chosen: Column, rejected: Column, length: int) -> Column:
+    """A struct of input_ids and attention_mask, each a pair of arrays of one length: the prompt with the chosen and with the rejected response."""
+    both = [F.concat(prompt, x) for x in (chosen, rejected)]
+    ids = [pad_or_cut(x, length, 0, left=False, cut="right") for x in both]
+    masks = [pad_or_cut(F.transform(x, lambda _: F.lit(1)), length, 0, left=False, cut="right") for x in both]
+    return F.struct(F.array(*ids).alias("input_ids"), F.array(*masks).alias("attention_mask"))
+
+
+def token_diff(a: Column, b: Column, mask: Column) -> Column:
+    """How many masked positions of two token arrays differ; 0 where either is empty."""
+    pairs = F.arrays_zip(a.alias("a"), b.alias("b"), mask.alias("m"))
+    count = F.size(F.filter(pairs, lambda p: (p["m"] == 1) & ~p["a"].eqNullSafe(p["b"])))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(count)
+
+
+def masked_values(df: DataFrame, values: str, mask: str) -> DataFrame:
+    """A row for each value whose mask is 1, in place of the arrays."""
+    d = df.withColumn("_p", F.explode(F.arrays_zip(F.col(values).alias("v"), F.col(mask).alias("m")))).filter("_p.m = 1")
+    return d.withColumn(values, F.col("_p.v")).drop("_p", mask)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -134,3 +136,79 @@ def scale_box(box: list[Column], width: Column, height: Column, to: int = 1000)
     at = lambda x, side: F.least(F.greatest(F.bround(x / side * to), F.lit(0.0)), F.lit(float(to))).cast("int")
     x, y = [at(box[k], width) for k in (0, 2)], [at(box[k], height) for k in (1, 3)]
     return [F.least(*x), F.least(*y), F.greatest(*x), F.greatest(*y)]
+
+
+def media_path(x: Column, root: str, listed_in: str) -> Column:
+    """Addresses and absolute paths as they are, others under the root, or beside the list that names them."""
+    base = (root or listed_in.rpartition("/")[0]).rstrip("/")
+    return F.when(F.regexp_like(x, F.lit("^(https?://|file://|/)")), x).otherwise(F.concat(F.lit(f"{base}/"), F.regexp_replace(x, r"^(\./)+", "")))
+
+
+def with_box_format(df: DataFrame, kind: str) -> DataFrame:
+    """df with the format in which boxes are asked for."""
+    return df.withColumn("bbox_format", F.lit(kind))
+
+
+def split_columns(df: DataFrame, for_model: list[str], key: str) -> tuple[DataFrame, DataFrame]:
+    """The columns that go to the model, and the others with the key, by which they meet again."""
+    return df.select(*for_model), df.select(key, *[c for c in df.columns if c not in for_model])
+
+
+#: The first bytes of PNG, JPEG, GIF, BMP and WebP files, in hexadecimal digits.
+IMAGE_HEADS = ("89504E470D0A1A0A", "FFD8FF", "474946383761", "474946383961", "424D", "52494646........57454250")
+
+
+def readable_image(content: Column) -> Column:
+    """Whether the bytes begin like an image file; null and empty ones don't."""
+    return F.coalesce(F.regexp_like(F.hex(F.substring(content, 1, 12)), F.lit("^(" + "|".join(IMAGE_HEADS) + ")")), F.lit(False))
+
+
+#: What opens a user's turn and an assistant's in three chat formats.
+USER_MARKS = (r"(?i)(?:^|\n)\s*(user\s*\n)", r"(?i)(<\|im_start\|>\s*user\s*\n)", r"(?i)(<\|start_header_id\|>\s*user\s*<\|end_header_id\|>)")
+ASSISTANT_MARKS = (r"(?i)\n\s*assistant\s*:?\s*$", r"(?i)<\|im_start\|>\s*assistant\s*$", r"(?i)<\|start_header_id\|>\s*assistant\s*<\|end_header_id\|>\s*$")
+
+
+def strip_system(x: Column) -> tuple[Column, Column]:
+    """(the text from its earliest user mark on, whether it has one)."""
+    # The text of the first match, its place by what precedes it.
+    places = [F.when(F.regexp_like(x, F.lit(m)), F.length(F.regexp_extract(x, f"(?s)^(.*?){m}", 1)) + F.length(F.regexp_extract(x, f"(?s)({m})", 1)) - F.length(F.regexp_extract(x, m, 1))) for m in USER_MARKS]
+    first = F.array_min(F.array(*places))
+    return F.when(first.isNotNull(), F.substring(x, first + 1, F.length(x))).otherwise(x), first.isNotNull()
+
+
+def strip_assistant(x: Column) -> Column:
+    """Without the assistant's mark at the end, and then without white space there."""
+    end = F.regexp_replace(x, r"\s+$", "")
+    cuts = [F.when(F.regexp_like(end, F.lit(m)), F.regexp_replace(F.regexp_replace(end, m, ""), r"\s+$", "")) for m in ASSISTANT_MARKS]
+    return F.coalesce(*cuts, x)
+
+
+#: The filters of a template's places.
+TEMPLATE_FILTERS = {"upper": F.upper, "lower": F.lower, "trim": F.trim, "regex_replace": F.regexp_replace}
+
+
+def rendered(template: str, columns: list[str]) -> Column:
+    """A text with {{ column | filter(arguments) }} places as a Column; a column that isn't there is an error."""
+    out, at = [], 0
+    for place in re.finditer(r"\{\{\s*(\w+)\s*((?:\|[^{}]*)?)\}\}", template):
+        if place[1] not in columns:
+            raise ValueError(f"no column {place[1]!r} for the template")
+        value = F.coalesce(F.col(place[1]).cast("string"), F.lit(""))
+        for name, arguments in re.findall(r"\|\s*(\w+)\s*(?:\(([^)]*)\))?", place[2]):
+            if name not in TEMPLATE_FILTERS:
+                raise ValueError(f"no filter {name!r} for the template")
+            value = TEMPLATE_FILTERS[name](value, *re.findall(r"'([^']*)'", arguments))
+        out += [F.lit(template[at : place.start()]), value]
+        at = place.end()
+    return F.concat(*out, F.lit(template[at:]))
+
+
+def rewrite_instruction(x: Column, kind: Column, rules: dict[str, tuple[str, str, str]]) -> Column:
+    """x with its instruction replaced: for a kind's rule (first, last, new) what goes from `first` to the next `last`, or to the end without one."""
+    out = x
+    for name, (first, last, new) in rules.items():
+        rest = F.substring(x, F.locate(first, x) + len(first), F.length(x))
+        tail = F.when(F.contains(rest, F.lit(last)), F.substring(rest, F.locate(last, rest) + len(last), F.length(rest))).otherwise("")
+        done = F.concat(F.substring_index(x, first, 1), F.lit(new), tail)
+        out = F.when((F.lower(kind) == name) & F.contains(x, F.lit(first)), done).otherwise(out)
+    return out

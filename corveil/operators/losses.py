@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corveil.functions import text as T
+
 
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
@@ -131,3 +133,19 @@ def adaptive_kl(kls: Column, start: float, target: float, horizon: float, n: int
 
 
 LOSSES: dict[str, Callable[..., DataFrame]] = {"vanilla": vanilla, "cispo": cispo, "gspo": gspo, "gpg": gpg, "geo_mean": geo_mean, "kl_cov": kl_cov, "clip_cov": clip_cov}
+
+
+def log_total(logits: Column) -> Column:
+    """log(sum(exp(logits))), shifted by the largest."""
+    top = F.array_max(logits)
+    return top + F.log(F.aggregate(logits, F.lit(0.0), lambda t, x: t + F.exp(x - top)))
+
+
+def logprob(logits: Column, token: Column) -> Column:
+    """The log-probability of the token with this number, from 0."""
+    return F.get(logits, token) - log_total(logits)
+
+
+def entropy(logits: Column) -> Column:
+    """The entropy of the distribution that the logits stand for, in nats."""
+    return T.let(lambda x, z: z - F.aggregate(x, F.lit(0.0), lambda t, v: t + v * F.exp(v - z)), logits, log_total(logits))

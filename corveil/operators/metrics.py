@@ -255,3 +255,8 @@ def ter(df: DataFrame, pred: str, gold: str) -> DataFrame:
     d = df.select(words(F.col(pred)).alias("p"), words(F.col(gold)).alias("g"))
     d = d.select(edits(F.col("p"), F.col("g")).alias("e"), F.size("g").alias("n"))
     return d.agg(F.when(F.sum("n") > 0, 100 * F.sum("e") / F.sum("n")).otherwise(F.when(F.sum("e") > 0, 100.0).otherwise(0.0)).alias("ter"))
+
+
+def placed(df: DataFrame, value: str, name: str) -> DataFrame:
+    """df with place, from 1, by falling value and then by name; for aggregated tables."""
+    return df.withColumn("place", F.row_number().over(W.orderBy(F.desc(value), name)))

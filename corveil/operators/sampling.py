@@ -114,3 +114,8 @@ def curriculum(weights: DataFrame, batch: DataFrame, domain: str, score: str, ra
     moved = F.greatest(F.when(F.col("_left").isNull() | target.isNull(), F.col("weight")).otherwise(F.col("weight") + rate * (target - F.col("weight"))), F.lit(floor))
     # One row per domain.
     return d.withColumn("weight", moved).withColumn("weight", F.col("weight") / F.sum("weight").over(whole)).select(domain, "weight")
+
+
+def sample_limit(n: int, limit: float | None) -> int:
+    """How many of n rows a limit keeps: all without one, a share rounded up below 1, else so many."""
+    return n if limit is None else math.ceil(n * limit) if limit < 1 else min(n, int(limit))

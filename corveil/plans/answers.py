@@ -83,7 +83,7 @@ def chart_list_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def infographic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """infovqa: normal forms that agree, one wrong letter, another answer altogether."""
     k = F.col("p_partkey") % 3
-    pred = F.when(k == 0, F.concat(F.lit("<answer>$"), F.format_string("%,d", F.col("p_partkey") + 1000), F.lit(" and +7.0 %</answer>"))).when(k == 1, F.concat(F.substring("p_name", 1, 3), F.lit("#"), F.expr("substring(p_name, 5)"))).otherwise("0")
+    pred = F.when(k == 0, F.concat(F.lit("<answer>$"), F.format_string("%,d", F.col("p_partkey") + 1000), F.lit(" and 7.0 %</answer>"))).when(k == 1, F.concat(F.substring("p_name", 1, 3), F.lit("#"), F.expr("substring(p_name, 5)"))).otherwise("0")
     gold = F.when(k == 0, F.concat((F.col("p_partkey") + 1000).cast(TEXT), F.lit(", 7.0"))).otherwise(F.col("p_name"))
     return table(spark, sf_dir, "part").filter("length(p_name) > 4").select("p_partkey", F.round(A.infographic_score(pred, F.array(F.lit("something else entirely"), gold)), 9).alias("anls"))
 
@@ -154,7 +154,7 @@ def open_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", A.open_match(said, gold).cast("int").alias("hit"))
 
 
-@query("""SELECT event_id, 'do' || 'n''t (' || event_type || '), "x"' AS plain, CASE WHEN event_id % 2 = 0 THEN 3 ELSE 2 END::INTEGER AS parts, CASE WHEN event_id % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS reward, 'cA' AS decoded FROM events""")
+@query("""SELECT event_id, 'do' || 'n''t (' || event_type || '),"x"' AS plain, CASE WHEN event_id % 2 = 0 THEN 3 ELSE 2 END::INTEGER AS parts, CASE WHEN event_id % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS reward, 'cA' AS decoded FROM events""")
 def small_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fn_detok, fn_escape_split, rw_string_simple, fn_base64."""
     i, even = F.col("event_id"), F.col("event_id") % 2 == 0

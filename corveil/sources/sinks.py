@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -61,8 +63,6 @@ def image_path(split: Column, config: Column, index: Column, row_id: Column, suf
 def write_media(df: DataFrame, root: str, path: str, content: str) -> DataFrame:
     """Writes each row's bytes under root, which all machines must share; the paths written."""
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pathlib import Path
-
         for rows in batches:
             for p, b in zip(rows[path], rows[content], strict=True):
                 target = Path(root, p)
@@ -71,3 +71,54 @@ def write_media(df: DataFrame, root: str, path: str, content: str) -> DataFrame:
             yield rows[[path]]
 
     return df.filter(F.col(content).isNotNull()).select(path, content).mapInPandas(write, f"{path} string")
+
+
+def run_args(args: dict, path: str) -> None:
+    """A run's arguments as JSON with sorted keys, in a small file of the driver's."""
+    Path(path).write_text(json.dumps(args, sort_keys=True, indent=2, default=str), encoding="utf-8")
+
+
+def generated(df: DataFrame, responses: DataFrame, key: str, path: str) -> None:
+    """The input with its responses as a list column, as Parquet; rows without responses keep an empty list."""
+    none = F.array().cast("array<string>")
+    df.join(responses.select(key, "responses"), key, "left").withColumn("responses", F.coalesce("responses", none)).write.mode("overwrite").parquet(path)
+
+
+def submission(df: DataFrame, path: str, key: str, answer: str) -> None:
+    """(questionId, answer) as JSON lines."""
+    df.select(F.col(key).alias("questionId"), F.col(answer).alias("answer")).write.mode("overwrite").json(path)
+
+
+def append_cache(df: DataFrame, path: str, task: str) -> None:
+    """Appends (task, doc_id, response) to a cache that is partitioned by task; those that it has stay as they are."""
+    new = df.select(F.lit(task).alias("task"), "doc_id", "response")
+    spark = df.sparkSession
+    try:
+        have = spark.read.schema("doc_id long, response string, task string").parquet(path).filter(F.col("task") == task)
+        new = new.join(have.select("doc_id"), "doc_id", "left_anti").select("task", "doc_id", "response")
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+    new.write.partitionBy("task").mode("append").parquet(path)
+
+
+def once(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at path; made and written first if it isn't there, so that a rerun skips the work."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+    make().write.parquet(path)
+    return spark.read.parquet(path)
+
+
+#: The columns that a flat table of samples has, by request type.
+FRAMES = {"generate_until": ("input", "prediction"), "loglikelihood": ("input", "prediction"), "multiple_choice": ("input", "choices", "prediction")}
+
+
+def sample_frame(df: DataFrame, request_type: str) -> DataFrame:
+    """(doc_id, request_type, input, prediction, target) of logged samples, with the list of choices where the type has one."""
+    columns = FRAMES[request_type]
+    own = {"input": F.get("arguments", 0).alias("input"), "choices": F.slice("arguments", 2, F.size("arguments")).alias("choices"), "prediction": F.get("filtered_resps", 0).alias("prediction")}
+    return df.select("doc_id", F.lit(request_type).alias("request_type"), *[own[c] for c in columns], "target")
