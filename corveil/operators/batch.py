@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 def ranges(df: DataFrame, column: str, name: str = "_bucket", buckets: int = 256) -> DataFrame:
     """df with the number of the row's range of a numeric column; ranges have about equally many rows, null is -1."""
     bounds = df.select(F.col(column).cast("double").alias("x")).approxQuantile("x", [k / buckets for k in range(1, buckets)], 0.25 / buckets)
+    if not bounds:
+        return df.withColumn(name, F.when(F.col(column).isNull(), -1).otherwise(0))
     splits = [float("-inf"), *sorted(set(bounds)), float("inf")]
     d = df.withColumn("_x", F.col(column).cast("double"))
     d = Bucketizer(splits=splits, inputCol="_x", outputCol="_y", handleInvalid="keep").transform(d)

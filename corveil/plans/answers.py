@@ -264,3 +264,49 @@ def scattered_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     r = rewards.token_rewards((F.col("user_id") % 5 + 1).cast("int"), F.col("value") / 100)
     return table(spark, sf_dir, "events").select("event_id", F.round(F.element_at(r, -1), 6).alias("last"), F.aggregate(F.slice(r, 1, F.size(r) - 1), F.lit(0.0), lambda t, x: t + x).alias("others"), F.size(r).alias("n"))
+
+
+#: Predicate, its arguments, a text that follows and one that doesn't; {w} is a word of the row's own.
+CONSTRAINT_CASES = (
+    ("number_words", ("less than", 4), "one two {w}", "one two {w} four"), ("number_sentences", ("at least", 2), "A {w}. B {w}!", "A {w} only."), ("word_count_in_range", (2, 3), "a {w} c", "{w}"), ("sentence_number_in_range", (2, 2), "A {w}. B?", "A. B. {w}."),
+    ("paragraph_number_in_range", (2, 3), "a {w}\n\nb", "a {w}"), ("each_paragraph_word_count_in_range", (1, 2), "a {w}\n\nb", "a {w} c\n\nb"), ("each_paragraph_sentence_number_in_range", (1, 1), "A {w}.\n\nB.", "A. B {w}.\n\nC."), ("each_paragraph_sentence_number_in_range_list", ([(1, 1), (2, 2)],), "A {w}.\n\nB. C.", "A. {w}.\n\nB."),
+    ("capital_letters", (), "ABC 1!", "ABC {w}"), ("lowercase_letters", (), "abc {w}", "Abc {w}"), ("lowercase_counting", (2,), "a b C D", "a b c {w}x"), ("letter_counting", ("less than", 4), "a1b2c", "abcd {w}"), ("letter_frequency", ("z", "at least", 2), "z {w} Z", "z {w}"), ("capital_word_frequency", ("at least", 2), "NASA {w} UN", "NASA {w}"),
+    ("count_unique", (), "a b {w}", "a {w} a"), ("placeholder", (2,), "[a] {w} [b]", "[a] {w}"), ("square_bracket", (), "[{w} x]", "{w} [x]"), ("bullet_list", (2,), "* {w}\n- b", "* {w}"), ("highlight_section", (2,), "*a {w}* and *b*", "*a {w}*"), ("section", ("Part", 2), "Part 1 {w} Part 2", "Part 1 {w}"), ("paragraph_stars", (2,), "a {w}\n***\nb", "a {w}"),
+    ("paragraph_basic", (2,), "a {w}\n\nb", "a {w}\nb"), ("postscript", ("P.S.",), "x {w}\nP.S. bye", "x {w}"), ("title", (), "<<{w}>> text", "<< >> {w}"), ("json_format", (), '```json\n{"a": "{w}"}\n```', "{a: {w}"), ("two_responses", (), "a {w}\n******\nb", "{w}******{w}"), ("quotation", (), '"{w} said"', '"{w} said'),
+    ("keywords", (["tree", "lake"],), "A Tree by the lake {w}", "trees by the lake {w}"), ("keyword_frequency", ("tree", "at least", 2), "tree {w} Tree", "tree {w}"), ("keyword_once", ("tree",), "one tree {w}", "tree {w} tree"), ("forbidden_words", (["tree"],), "trees {w}", "a tree {w}"), ("exclude_word_harder", ("tree",), "tree. {w}", "a tree {w}"),
+    ("count_increment_word", ("one", "two"), "one two {w} two", "one two {w}"), ("each_keyword_in_range", (["a", "b"], 1, 2), "a b {w} b", "a {w}"), ("total_keyword_in_range", (["a", "b"], 3, 3), "a b {w} b", "a b {w}"), ("keyword_specific_position", ("tree", 2, 1), "A {w}. Tree falls.", "Tree {w}. It falls."),
+    ("constrained_response", (["My answer is yes.", "My answer is no."],), "My answer is no. {w}", "no {w}"), ("constrained_start", ("Dear",), "{w}\n dear all", "my dear {w}"), ("end_phrase", ("Any questions?",), '{w} any questions?"', "any questions? {w}"), ("start_end_same", (), "tree {w} Tree", "tree {w}"), ("first_word_answer", ("tree",), "Tree {w}", "{w} tree"),
+    ("last_word_answer", ("tree",), "{w} Tree!", "tree {w}"), ("first_word_each_sentence", ("so",), "So {w}. So be it.", "So {w}. Be it."), ("last_word_each_sentence", ("so",), "{w} so. Is it so?", "{w} so. Is it?"), ("paragraph_first_word", (2, 2, "so"), "a {w}\n\nSo b", "So {w}\n\nb"), ("each_sentence_begins", ("It",), "It {w}. It is.", "It {w}. He is."),
+    ("each_sentence_ends", ("!",), "It {w}! He is!", "It {w}! He is."), ("each_paragraph_begins", ("It",), "It {w}\n\nIt is", "It {w}\n\nHe is"), ("each_paragraph_ends", ("!",), "It {w}!\n\nIs!", "It {w}!\n\nIs"), ("whole_begins", ("It",), " It {w}", "{w} It"), ("whole_ends", ("!",), "{w}! ", "!{w}"), ("repeat_prompt", ("Say it.",), "say it. {w}", "{w} say it."),
+    ("copy_text", ("Say it.",), " SAY it. ", "say it. {w}"), ("copy_span", ("Say it now", 4, 6), "It", "it {w}"), ("copying", ("Say it.", 2), "Say it.\nSay it.", "Say it. {w}"), ("no_comma", (), "a {w}", "a, {w}"), ("no_dot", (), "a {w}", "a. {w}"), ("no_exclamation", (), "a {w}", "a! {w}"), ("adjacent_letter", (), "a {w} c", "{w} was"),
+    ("palindrome", (), "a level {w}", "a {w}"), ("without", (["xyz", "qq"],), "x {w}", "xyz {w}"), ("percentage_precision", (1,), "5.5% and 7 {w}", "5% {w}"), ("number_precision", (2,), "1.25 and 3.50", "1.25 and 3"), ("no_arabic_number", (), "none", "one 1 {w}"), ("bigram_wrapping", (), "<<a {w}>> <<c d>>", "<<a>> <<{w} c d>>"),
+    ("sentence_hyphen", (), "One {w}.-Two", "One {w}. Two"), ("repeat_phrase", ("red blue", 2), "red x blue {w} red y blue", "red x blue {w}"),
+)
+
+
+@query("SELECT event_id, " + ", ".join(f"event_id % 2 = 0 AS {name}" for name, *_ in CONSTRAINT_CASES) + " FROM events")
+def constraint_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text-constraint predicates, each on a text that follows it and on one that doesn't."""
+    even, own = F.col("event_id") % 2 == 0, F.concat(F.lit("w"), text("user_id"), F.lit("v"))
+
+    def case(name: str, how: tuple, good: str, bad: str):  # noqa: ANN202
+        return constraints.PREDICATES[name](F.when(even, F.replace(F.lit(good), F.lit("{w}"), own)).otherwise(F.replace(F.lit(bad), F.lit("{w}"), own)), *how).alias(name)
+
+    return table(spark, sf_dir, "events").select("event_id", *[case(*c) for c in CONSTRAINT_CASES])
+
+
+@query("""WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[0-9a-z_]+')) AS w FROM benchmark), c AS (SELECT item_id, w, count(*) AS n FROM w GROUP BY 1, 2), o AS (SELECT a.item_id, sum(least(a.n, b.n)) AS n FROM c a JOIN c b ON a.w = b.w AND b.item_id = a.item_id + 1 GROUP BY 1)
+SELECT a.item_id, coalesce(o.n, 0) BETWEEN 1 AND 5 AS overlaps FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1 LEFT JOIN o ON o.item_id = a.item_id""")
+def rephrased_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RephraseParagraph: the words that a text shares with the original, each as often as both have it, lie in a range."""
+    b = table(spark, sf_dir, "benchmark")
+    d = b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("original")), "item_id")
+    return d.select("item_id", constraints.PREDICATES["multiset_overlap"](F.col("text"), F.col("original"), 1, 5).alias("overlaps"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 0.75 ELSE 0.25 END::DOUBLE AS score FROM events")
+def instruction_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rw_instruction: the share of instructions that a text follows; unknown ones count as not followed."""
+    checks = [("no_comma", {}), ("number_sentences", {"relation": "at least", "n": 3}), ("title", {}), ("unheard_of", {})]
+    x = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("<<On "), "event_type", F.lit(">> It is. He was. They are."))).otherwise(F.concat(F.lit("No title and one sentence on "), "event_type"))
+    return table(spark, sf_dir, "events").select("event_id", constraints.follows(x, checks).alias("score"))

@@ -450,13 +450,6 @@ def constraint_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
-def instruction_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rw_instruction: the share of instructions that a text follows; unknown ones count as not followed."""
-    checks = [("no_comma", {}), ("number_sentences", {"relation": "at least", "n": 3}), ("title", {}), ("adjacent_letter", {}), ("quotation", {}), ("unheard_of", {})]
-    return table(spark, sf_dir, "documents").select("doc_id", constraints.follows(F.col("text"), checks).alias("score"))
-
-
 @query("""SELECT 'labels' AS task, 'exact_match' AS metric, f AS filter, round(avg((CASE WHEN f = 'none' THEN quality::VARCHAR ELSE coalesce(nullif(quality::VARCHAR, '0'), 'none') END = toxic::VARCHAR)::INTEGER), 6)::DOUBLE AS value,
 round(stddev_samp((CASE WHEN f = 'none' THEN quality::VARCHAR ELSE coalesce(nullif(quality::VARCHAR, '0'), 'none') END = toxic::VARCHAR)::INTEGER) / sqrt(count(*)), 6) AS stderr, count(*) AS samples FROM (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1), (VALUES ('none'), ('mapped')) v(f) GROUP BY f""")
 def evaluate_task(spark: SparkSession, sf_dir: str) -> DataFrame:
