@@ -3,7 +3,7 @@
 The text gives likelihoods of byte 4-grams, learnt from labelled documents. From the languages that the text alone
 suggests, grouped aggregation gives how often a language declares itself as what, how often it is found under an
 address suffix, and host priors that are smoothed towards the host's domain, and those towards the whole. A record's own vote
-is left out of the counts that judge it. Its posterior is the product of all four, normalised.
+is left out of the counts of its host, suffix and declared language. Its posterior is the product of all four, normalised.
 """
 
 from __future__ import annotations

@@ -362,7 +362,7 @@ def test_pages_languages_against_brute_force(spark):
 def test_equal_posteriors_take_the_first_language(spark):
     docs = spark.createDataFrame([(1, "abcd", "b", None), (2, "abcd", "a", None)], DOCS)
     r = langid.identify_pages(spark.createDataFrame([(1, "http://h.com/", "<p>abcd</p>"), (2, None, "<p>zzzz</p>")], "page_id long, url string, html string"), docs).collect()
-    assert [x["language"] for x in r] == ["a", "a"] and all(x["posterior"] == pytest.approx(0.5, abs=0.2) for x in r)
+    assert [x["language"] for x in r] == ["a", "a"] and all(0.5 <= x["posterior"] < 1 for x in r)
 
 
 def test_rules_and_repeated_addresses(spark):
