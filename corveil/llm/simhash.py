@@ -5,6 +5,10 @@ Manhattan distance of two count vectors is a lower bound of the Hamming distance
 the Manhattan distance is at most 3, at least three groups have equal counts. Each choice of three groups is a grid
 whose cells hold the fingerprints with equal counts there: a pair within reach shares a cell of at least one grid. In
 a cell, pairs within the Manhattan bound are verified by their Hamming distance.
+
+Most texts that share four fifths of their five-word shingles lie further apart than the grid's reach. `keep_first`,
+whose rule that similarity is, takes the grid's links as proposals beside those of bands of smallest shingle hashes,
+and verifies all of them on the shingle sets themselves.
 """
 
 from __future__ import annotations
@@ -30,22 +34,33 @@ BLOCK = 2048
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: str, shingle: int = 3) -> int:
-    """The 64-bit SimHash of a text's word shingles, as a signed number; 0 without words."""
+def shingle_hashes(text: str, shingle: int = 3) -> np.ndarray:
+    """The XXH64 of each run of `shingle` words, repeats included; of the whole sequence if it is shorter; none without words."""
     words = text.encode().translate(LOWER).split()
-    if not words:
-        return 0
     n = min(shingle, len(words))
     joined, sizes = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     digest = xxhash.xxh64_intdigest
-    ones, shingles = np.zeros(64, np.int64), len(words) - n + 1
+    shingles = len(words) - n + 1 if n else 0
+    out = np.zeros(shingles, np.uint64)
     for at in range(0, shingles, 1 << 16):
         past = min(shingles, at + (1 << 16))
         first, last = (ends - sizes)[at:past].tolist(), ends[at + n - 1 : past + n - 1].tolist()
-        hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(first, last, strict=True)), np.uint64, past - at)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > shingles, bitorder="little").view(np.int64)[0])
+        out[at:past] = np.fromiter((digest(joined[a:b], 42) for a, b in zip(first, last, strict=True)), np.uint64, past - at)
+    return out
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes, as a signed number: the bits set in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def fingerprint(text: str, shingle: int = 3) -> int:
+    """The 64-bit SimHash of a text's word shingles, as a signed number; 0 without words."""
+    return majority(shingle_hashes(text, shingle))
 
 
 def text_key(text_col: str) -> Column:
@@ -197,15 +212,161 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, reach: int = REACH, id_co
     return grouped(docs, shingle, reach, id_col, text_col).select("doc_id", "fp", "component_id")
 
 
+#: Bands of so many smallest hashes each: of pairs at the similarity 0.8 all but 1 in 5,000 share a band.
+BANDS, BAND = 16, 4
+#: Odd multipliers of the hash functions whose smallest values are taken.
+MULTIPLIERS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * BAND, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+SIMILAR, WIDE = 0.8, 5
+#: Pairs of which fewer of the smallest values agree (in their last byte) aren't verified: of those at the similarity 0.8 about 1 in 5,000.
+AGREEING = 40
+
+
+def wide_shingles(text: str, narrow: np.ndarray) -> np.ndarray:
+    """The distinct hashes of the five-word shingles, each from the two three-word shingles that make it up; of the whole sequence if it is shorter."""
+    if len(narrow) < WIDE - 2:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(text.encode().translate(LOWER).split()), 42)] if len(narrow) else [], np.uint64)
+    mixed = narrow[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ (narrow[2:] + np.uint64(0x632BE59BD9B4E019))
+    mixed ^= mixed >> np.uint64(31)
+    return np.unique(mixed * np.uint64(0xBF58476D1CE4E5B9))
+
+
+def bands(wide: np.ndarray) -> tuple[list[int], bytes]:
+    """A key for each band of the smallest values that the hash functions take on a set, and the last byte of each value; sets without any element share theirs."""
+    least = np.full(BANDS * BAND, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(wide), 4096):
+        least = np.minimum(least, (wide[at : at + 4096, None] * MULTIPLIERS).min(0))
+    return [xxhash.xxh64_intdigest(least[k * BAND : (k + 1) * BAND].tobytes(), k) - (1 << 63) for k in range(BANDS)], least.astype(np.uint8).tobytes()
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, key, fp, n, cells, values) of every row: the three-word fingerprint, the number of distinct five-word shingles and their bands."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, n, cells, values = [], [], [], []
+            for x in batch.column(2):
+                text = x.as_py() or ""
+                narrow = shingle_hashes(text)
+                wide = wide_shingles(text, narrow)
+                fp.append(majority(narrow))
+                n.append(len(wide))
+                for column, x in zip((cells, values), bands(wide), strict=True):
+                    column.append(x)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(cells, pa.list_(pa.int64())), pa.array(values, pa.binary())], ["doc_id", "key", "fp", "n", "cells", "values"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text")).mapInArrow(read, "doc_id long, key long, fp long, n long, cells array<long>, values binary")
+
+
+def shingle_sets(docs: DataFrame, keys: DataFrame, text_col: str) -> DataFrame:
+    """(key, wide): the distinct five-word shingles of the texts with these keys."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wide = [wide_shingles(t, shingle_hashes(t)).view(np.int64) for t in (x.as_py() or "" for x in batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wide, pa.list_(pa.int64()))], ["key", "wide"])
+
+    texts = docs.select(text_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text")).join(keys, "key", "left_semi")
+    return texts.mapInArrow(read, "key long, wide array<long>").dropDuplicates(["key"])
+
+
+def likely_pairs(cells: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b): the pairs of a cell whose parts differ and whose smallest values agree often enough, from rows (cell, key, part, n, values).
+
+    Only such pairs leave a task; large cells are split into pairs of blocks.
+    """
+    paired = block_pairs(cells, "cell", "key", block).select("cell", "left", "right", "own", "key", "part", "n", "values")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(rows: pa.Table) -> pa.RecordBatch:
+            left, right, own, key, part, n = (rows.column(c).to_numpy() for c in ("left", "right", "own", "key", "part", "n"))
+            values = np.frombuffer(b"".join(rows.column("values").to_pylist()), np.uint8).reshape(-1, BANDS * BAND)
+            i = np.arange(len(key)) if left[0] == right[0] else np.flatnonzero(own == left[0])
+            j = i if left[0] == right[0] else np.flatnonzero(own == right[0])
+            out = []
+            for at in range(0, len(i), 32):
+                x = i[at : at + 32]
+                agree = (values[x, None] == values[None, j]).sum(2) >= AGREEING
+                agree &= (part[x, None] != part[None, j]) & (np.minimum(n[x, None], n[None, j]) >= SIMILAR * np.maximum(n[x, None], n[None, j]))
+                p, q = np.nonzero(agree)
+                out.append(np.stack([key[x[p]], key[j[q]]], 1))
+            found = np.unique(np.sort(np.concatenate(out), 1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            # Whole groups of (cell, left, right), in order; the last one may go on in the next batch.
+            rows = pa.Table.from_batches([*rest, batch]).combine_chunks()
+            if not rows.num_rows:
+                continue
+            mark = np.stack([rows.column(c).to_numpy() for c in ("cell", "left", "right")], 1)
+            edges = [0, *(np.flatnonzero((mark[1:] != mark[:-1]).any(1)) + 1).tolist()]
+            for first, past in zip(edges[:-1], edges[1:], strict=True):
+                yield pairs(rows.slice(first, past - first))
+            rest = rows.slice(edges[-1]).combine_chunks().to_batches()
+        if rest and sum(b.num_rows for b in rest):
+            yield pairs(pa.Table.from_batches(rest).combine_chunks())
+
+    return paired.repartition("cell", "left", "right").sortWithinPartitions("cell", "left", "right").mapInArrow(compare, "a long, b long")
+
+
+def similar_links(docs: DataFrame, classes: DataFrame, text_col: str) -> DataFrame:
+    """(a, b): links that connect classes (key, fp, n, cells, values) whose shingle sets have a similarity of at least SIMILAR.
+
+    The grid proposes the pairs within its reach. In each band's cell the class with the smallest key is held against
+    all others; it and those that it links with leave the cell, and the rest go on, until no cell has two: a cell of
+    many copies costs a pair for each. At last, what shares a cell and isn't connected by then is compared pair by pair
+    on the smallest values, and verified where they agree.
+    """
+    named = classes.groupBy("fp").agg(F.min("key").alias("first"))
+    near = links(classes.select("fp").distinct()).join(named.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(named.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
+    equal = classes.join(named, "fp").filter("key <> first").select(F.col("first").alias("x"), F.col("key").alias("y"))
+    proposed = cut(near.unionByName(equal).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    cells = classes.select("key", "n", F.explode("cells").alias("cell"))
+    several = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("cell")
+    cells = shared = cut(cells.join(several, "cell"))
+    keys = cells.select("key").unionByName(proposed.select(F.col("a").alias("key"))).unionByName(proposed.select(F.col("b").alias("key"))).distinct()
+    sets = cut(shingle_sets(docs, keys, text_col))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        sides = [sets.select(F.col("key").alias(c), F.col("wide").alias(f"wide_{c}"), F.size("wide").alias(f"n_{c}")) for c in ("a", "b")]
+        d = pairs.join(sides[0], "a").join(sides[1], "b").filter(F.least("n_a", "n_b") >= SIMILAR * F.greatest("n_a", "n_b"))
+        both = F.size(F.array_intersect("wide_a", "wide_b"))
+        return d.filter(both >= SIMILAR * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
+
+    found = [cut(verified(proposed.distinct()))]
+    while True:
+        led = cells.groupBy("cell").agg(F.min(F.struct("key", "n")).alias("first"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("cell", F.col("first.key").alias("a"), F.col("first.n").alias("n_a"))
+        rest = cells.join(led, "cell").filter("key <> a")
+        # Sizes alone rule most of the others out.
+        pairs = cut(rest.filter(F.least("n", "n_a") >= SIMILAR * F.greatest("n", "n_a")).select("a", F.col("key").alias("b")).distinct())
+        hits = cut(verified(pairs))
+        found.append(hits)
+        left = rest.join(hits.select("a", F.col("b").alias("key")), ["a", "key"], "left_anti").select("key", "n", "cell")
+        cells = cut(left)
+        if cells.isEmpty():
+            break
+    def all_of(parts: list[DataFrame]) -> DataFrame:
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(all_of(parts[1:]))
+
+    part = components(all_of(found)).select(F.col("node").alias("key"), F.col("component").alias("part"))
+    shared = shared.join(part, "key", "left").withColumn("part", F.coalesce("part", "key"))
+    mixed = shared.groupBy("cell").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("cell")
+    rows = shared.join(mixed, "cell").join(classes.select("key", "values"), "key")
+    return all_of([*found, cut(verified(cut(likely_pairs(rows).distinct())))])
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component the row with the smallest id, with all its columns; null ids stay.
+    """Of each group of near copies the row with the smallest id, with all its columns; null ids stay.
 
-    Of rows with that id in the component, the text with the smallest hash stays; rows that repeat a kept id and text
-    are copies, of which any one stays. An id whose texts are in several components may stay in each.
+    Texts are near copies if their sets of five-word shingles (the whole text, where it is shorter) have a similarity
+    of at least SIMILAR; a group is what such links connect. Texts without words are one group. Of rows with the
+    smallest id in the group, the text with the smallest hash stays; rows that repeat a kept id and text are copies, of
+    which any one stays. An id whose texts are in several groups may stay in each.
     """
+    rows = cut(sketches(docs, id_col, text_col))
+    classes = cut(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("values").alias("values")))
+    near = components(similar_links(docs, classes, text_col)).select(F.col("node").alias("key"), "component")
+    grouped = classes.select("key", "least").join(near, "key", "left").withColumn("component", F.coalesce("component", "key"))
     name, key = fresh(docs, "kept"), fresh(docs, "key")
-    near = grouped(docs, 3, REACH, id_col, text_col).filter("doc_id = component_id")
-    kept = near.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("k")).select(F.col("k.doc_id").alias(name), F.col("k.key").alias(f"{key}_"))
+    kept = grouped.filter("least is not null").groupBy("component").agg(F.min(F.struct("least", "key")).alias("k")).select(F.col("k.least").alias(name), F.col("k.key").alias(f"{key}_"))
     once = docs.withColumn(key, text_key(text_col))
     once = once.join(kept, (F.col(id_col).cast("long") == F.col(name)) & (F.col(key) == F.col(f"{key}_")), "left_semi")
     once = once.dropDuplicates([id_col, key]).drop(key)

@@ -9,7 +9,8 @@ import __spark_entry__ as driver
 import corpus_pipeline
 from corveil.llm import queries, toxicity
 from corveil.llm.common import table
-from corveil.llm.simhash import fingerprint
+
+from test_operators import kept_by_brute_force
 
 DIR = "/root/testdata/sf0.001"
 COLUMNS = {
@@ -68,20 +69,8 @@ def test_stages(spark):
         if name == "language_id":
             assert set(after["doc_id"]) == {k for k, t in zip(before["doc_id"], before["text"]) if any(c.isalpha() for c in t)}
         if name == "simhash_near_dedup":
-            up = {}
-            prints = dict(zip(before["doc_id"], (fingerprint(t) & (1 << 64) - 1 for t in before["text"])))
-
-            def root(x):
-                while up.get(x, x) != x:
-                    x = up[x]
-                return x
-
-            ids = sorted(prints)
-            for i, a in enumerate(ids):
-                for b in ids[:i]:
-                    if bin(prints[a] ^ prints[b]).count("1") <= 3 and root(a) != root(b):
-                        up[max(root(a), root(b))] = min(root(a), root(b))
-            assert sorted(after["doc_id"]) == sorted({root(i) for i in ids})
+            want = kept_by_brute_force(list(zip(before["doc_id"], before["text"])))
+            assert sorted(after["doc_id"]) == sorted(group[0][0] for group in want)
         if name == "mixing":
             assert after["doc_id"].value_counts().max() <= 2
     rows = corpus_pipeline.STAGES[4][1](spark, kept, DIR).toPandas()
