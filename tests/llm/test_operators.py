@@ -398,3 +398,20 @@ def test_clashing_columns(spark):
     assert mixing.training_order(docs).columns == docs.columns
     assert simhash.keep_first(docs).columns == docs.columns
     assert langid.keep_identified(docs).columns == docs.columns
+    labels = spark.createDataFrame([(k, int(k % 2)) for k in range(20)], "doc_id long, toxic int")
+    assert toxicity.keep_clean(docs.selectExpr("*", "8 as _toxicity", "9 as toxic", "1 as labelled"), labels).columns == [*docs.columns, "_toxicity", "toxic", "labelled"]
+
+
+def test_very_long_texts(spark):
+    long = "the vilest slurword and a word more " * 40_000
+    docs = documents(spark, [(1, long, "en", "a"), (2, "x" * 1_500_000, "de", "b"), (3, "kind words", "en", "a"), (4, "vilest slurword", "en", "a")])
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, toxic int")
+    assert toxicity.score_documents(docs, labels).count() == 4
+    assert {r["doc_id"] for r in langid.keep_identified(docs).collect()} >= {1}
+    prints = {r["doc_id"]: r["fp"] for r in simhash.near_duplicates(docs).collect()}
+    assert prints[1] & (1 << 64) - 1 == plain_fingerprint(long)
+    assert simhash.keep_first(docs).count() == 4
+    out = html.extract(spark.createDataFrame([(1, "http://h/", f"<article><p>{long}</p></article>"), (2, "http://h/", f"<div>{long}</div>")], "page_id long, url string, html string")).collect()
+    assert sorted(r["n_chars"] for r in out) == [len(long) - 1] * 2
+    pieces = packing.pieces(docs, TOKENIZER).collect()
+    assert sum(r["length"] for r in pieces if r["doc_id"] == 1) == 40_000 * len(WordIds(TOKENIZER).ids("the vilest slurword and a word more")) + 1
