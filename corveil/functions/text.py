@@ -144,6 +144,12 @@ def iou(a: list[Column], b: list[Column]) -> Column:
     return inter / F.greatest(area(a) + area(b) - inter, F.lit(1e-12))
 
 
+def iou_matrix(p: Column, g: Column) -> Column:
+    """The intersection over union of each box of p (rows) with each of g, both arrays of boxes x1, y1, x2, y2."""
+    corners = lambda x: [F.get(x, k) for k in range(4)]
+    return F.transform(p, lambda a: F.transform(g, lambda b: iou(corners(a), corners(b))))
+
+
 def choice_letter(x: Column) -> Column:
     """The first single capital letter that stands alone or before a mark."""
     return F.nullif(F.regexp_extract(x, r"(?:^|[\s(])([A-Z])(?:$|[\s).:,])", 1), F.lit(""))

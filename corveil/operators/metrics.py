@@ -25,8 +25,27 @@ AGGREGATES: dict[str, tuple[Callable[..., Column], bool]] = {
     "pop_std": (lambda x: F.stddev_pop(x), False),
     "sample_std": (lambda x: F.stddev_samp(x), False),
     "mean_stderr": (lambda x: F.stddev_samp(x) / F.sqrt(F.count(x)), False),
+    "f1": (lambda gold, pred: f1(gold, pred), True),
+    "mcc": (lambda gold, pred: matthews(gold, pred), True),
+    "brier_score": (lambda gold, *p: brier(gold, list(p)), False),
 }
 
+#: name -> (the request types that it is for, its default aggregate, whether higher is better)
+METRICS: dict[str, tuple[tuple[str, ...], str, bool]] = {
+    "acc": (("loglikelihood", "multiple_choice"), "mean", True), "acc_norm": (("loglikelihood", "multiple_choice"), "mean", True), "acc_mutual_info": (("multiple_choice",), "mean", True), "exact_match": (("generate_until",), "mean", True),
+    "perplexity": (("loglikelihood",), "perplexity", False), "word_perplexity": (("loglikelihood_rolling",), "weighted_perplexity", False), "byte_perplexity": (("loglikelihood_rolling",), "weighted_perplexity", False), "bits_per_byte": (("loglikelihood_rolling",), "bits_per_byte", False),
+    "f1": (("multiple_choice",), "f1", True), "mcc": (("multiple_choice",), "mcc", True), "brier_score": (("multiple_choice",), "brier_score", False), "anls": (("generate_until",), "mean", True),
+    "bypass": (("loglikelihood", "multiple_choice", "generate_until"), "bypass", True),
+}
+
+
+def metric(name: str, request_type: str) -> tuple[str, bool]:
+    """(default aggregate, whether higher is better) of a metric; an unknown one, or one that isn't for the request type, is an error."""
+    kinds, how, higher = METRICS.get(name) or ((), "", False)
+    if request_type not in kinds:
+        raise ValueError(f"no metric {name!r} for {request_type} requests")
+    return how, higher
+
 
 def aggregate(name: str, *columns: Column) -> Column:
     if name not in AGGREGATES:

@@ -145,6 +145,16 @@ def point_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count_if(x.between(b[0], b[2]) & y.between(b[1], b[3])).alias("hits"))
 
 
+@query(f"""WITH {BOXES}, p AS (SELECT a.l_orderkey, greatest(0, least(a.x2, c.u2) - greatest(a.x1, c.u1)) * greatest(0, least(a.y2, c.v2) - greatest(a.y1, c.v1)) AS inter, (a.x2 - a.x1) * (a.y2 - a.y1) + (c.u2 - c.u1) * (c.v2 - c.v1) AS areas FROM b a JOIN b c ON a.l_orderkey = c.l_orderkey)
+SELECT l_orderkey, count(*)::INTEGER AS pairs, round(max(inter / greatest(areas - inter, 1e-12)), 5) AS best, count(*) FILTER (WHERE inter / greatest(areas - inter, 1e-12) >= 0.25)::INTEGER AS near FROM p GROUP BY 1""")
+def box_crosses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """join_box_cross, fn_iou_matrix: every predicted against every reference box of an order."""
+    a, b = box_columns()
+    d = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.array(*a)).alias("p"), F.collect_list(F.array(*b)).alias("g"))
+    d = d.select("l_orderkey", T.iou_matrix(F.col("p"), F.col("g")).alias("m")).select("l_orderkey", F.flatten("m").alias("m"))
+    return d.select("l_orderkey", F.size("m").alias("pairs"), F.round(F.array_max("m"), 5).alias("best"), F.size(F.filter("m", lambda x: x >= 0.25)).alias("near"))
+
+
 @query()
 def optimal_box_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fn_hungarian, fn_box_score, rw_grounding: optimal assignment of an order's predicted to its reference boxes."""

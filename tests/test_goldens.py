@@ -110,6 +110,14 @@ def test_metrics(spark):
     assert metrics.bleu(other, "p", "g").first()["bleu"] == pytest.approx(100 * (5 / 7 * 3 / 6 * 2 / 5 * 1 / 4) ** 0.25)
 
 
+def test_metric_registry():
+    assert metrics.metric("exact_match", "generate_until") == ("mean", True) and metrics.metric("perplexity", "loglikelihood") == ("perplexity", False)
+    assert all(how in metrics.AGGREGATES for _, how, _ in metrics.METRICS.values())
+    for name, kind in (("acc", "generate_until"), ("none", "loglikelihood")):
+        with pytest.raises(ValueError, match="no metric"):
+            metrics.metric(name, kind)
+
+
 def test_bootstraps(spark):
     d = spark.range(400).select("id", (F.col("id") % 10).cast("double").alias("x"))
     error = metrics.bootstrap_stderr(d, "x", "id", 300).first()["stderr"]
