@@ -116,7 +116,7 @@ def clip_cov(df: DataFrame, key: list[str], ratio: float = 2e-4, low: float = 1.
     """The clipped loss, zeroed on a hash-drawn max(int(ratio * n), 1) of the tokens whose covariance lies between low and high."""
     d = covariance(vanilla(df))
     n = df.filter("mask > 0").count()
-    drawn = d.filter((F.col("mask") > 0) & (F.col("cov") > low) & (F.col("cov") < high)).orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(max(int(ratio * n), 1))
+    drawn = d.filter((F.col("mask") > 0) & (F.col("cov") > low) & (F.col("cov") < high)).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]).cast("binary")), *key).limit(max(int(ratio * n), 1))
     return d.join(drawn.select(*key, F.lit(True).alias("_out")), key, "left").withColumn("loss", F.when(F.col("_out"), 0.0).otherwise(F.col("loss"))).drop("_out", "cov")
 
 

@@ -226,7 +226,11 @@ def policy_loss_kl_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return losses.aggregate_loss(d, "loss", "token-mean").select(F.round("loss", 5).alias("loss"))
 
 
-@query()
+@query(f"""WITH {TOKENS}, m AS (SELECT avg(advantage) AS a, avg(logp) AS l FROM t WHERE mask > 0), r AS (SELECT *, exp(greatest(-20, least(20, logp - old_logp))) AS ratio FROM t),
+f AS (SELECT *, greatest(-advantage * ratio, -advantage * greatest(0.8, least(1.2, ratio))) AS first FROM r), x AS (SELECT *, CASE WHEN advantage < 0 THEN least(-advantage * 3, first) ELSE first END AS loss FROM f),
+c AS (SELECT row_id, pos, (advantage - a) * (logp - l) AS cov FROM t, m WHERE mask > 0), d AS (SELECT row_id, pos, row_number() OVER (ORDER BY md5('42:' || row_id || ':' || pos), row_id, pos) AS k FROM c WHERE cov > 1 AND cov < 5),
+o AS (SELECT row_id, pos FROM d WHERE k <= (SELECT greatest(floor(count(*) * 0.01)::BIGINT, 1) FROM c))
+SELECT round(sum(CASE WHEN o.row_id IS NULL THEN loss ELSE 0 END * mask) / (sum(mask) + 1e-8), 5) AS loss FROM x LEFT JOIN o ON x.row_id = o.row_id AND x.pos = o.pos""")
 def policy_loss_clip_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
     """loss_clip_cov: a hash-drawn part of the tokens of middling covariance has no loss."""
     d = losses.clip_cov(tokens(spark, sf_dir), ["row_id", "pos"], ratio=0.01)
