@@ -267,6 +267,54 @@ def shingle_sets(docs: DataFrame, keys: DataFrame, text_col: str) -> DataFrame:
     return texts.mapInArrow(read, "key long, wide array<long>").dropDuplicates(["key"])
 
 
+def groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The runs of rows that are equal in these columns, from sorted batches; the last run of a batch may go on in the next."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        rows = pa.Table.from_batches([*rest, batch]).combine_chunks()
+        if not rows.num_rows:
+            continue
+        mark = np.stack([rows.column(c).to_numpy() for c in columns], 1)
+        edges = [0, *(np.flatnonzero((mark[1:] != mark[:-1]).any(1)) + 1).tolist()]
+        for first, past in zip(edges[:-1], edges[1:], strict=True):
+            yield rows.slice(first, past - first)
+        rest = rows.slice(edges[-1]).combine_chunks().to_batches()
+    if rest:
+        yield pa.Table.from_batches(rest).combine_chunks()
+
+
+def least_values(rows: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.column("values").to_pylist()), np.uint8).reshape(-1, BANDS * BAND)
+
+
+def pair_batch(pairs: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def led_pairs(cells: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b): in each cell of rows (cell, key, n, values) the first class with all whose smallest values agree with its own often enough, then the first of the rest with its own, and so on.
+
+    A pair at most for each row, however many copies a cell holds. Large cells are split by a hash of key and cell, so
+    that what one cell's blocks separate meets in another cell.
+    """
+    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("m"))
+    split = cells.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("key", "cell"), F.ceil(F.col("m") / block))).select("cell", "block", "key", "n", "values")
+
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in groups(batches, ("cell", "block")):
+            key, n, values = rows.column("key").to_numpy(), rows.column("n").to_numpy(), least_values(rows)
+            left, out = np.arange(len(key)), []
+            while len(left) > 1:
+                first, left = left[0], left[1:]
+                fits = ((values[left] == values[first]).sum(1) >= AGREEING) & (np.minimum(n[left], n[first]) >= SIMILAR * np.maximum(n[left], n[first]))
+                out.append(np.stack([np.full(fits.sum(), key[first]), key[left[fits]]], 1))
+                left = left[~fits]
+            if out:
+                yield pair_batch(np.concatenate(out))
+
+    return split.repartition("cell", "block").sortWithinPartitions("cell", "block", "key").mapInArrow(lead, "a long, b long")
+
+
 def likely_pairs(cells: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b): the pairs of a cell whose parts differ and whose smallest values agree often enough, from rows (cell, key, part, n, values).
 
@@ -275,11 +323,11 @@ def likely_pairs(cells: DataFrame, block: int = BLOCK) -> DataFrame:
     paired = block_pairs(cells, "cell", "key", block).select("cell", "left", "right", "own", "key", "part", "n", "values")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(rows: pa.Table) -> pa.RecordBatch:
+        for rows in groups(batches, ("cell", "left", "right")):
             left, right, own, key, part, n = (rows.column(c).to_numpy() for c in ("left", "right", "own", "key", "part", "n"))
-            values = np.frombuffer(b"".join(rows.column("values").to_pylist()), np.uint8).reshape(-1, BANDS * BAND)
-            i = np.arange(len(key)) if left[0] == right[0] else np.flatnonzero(own == left[0])
-            j = i if left[0] == right[0] else np.flatnonzero(own == right[0])
+            values, same = least_values(rows), left[0] == right[0]
+            i = np.arange(len(key)) if same else np.flatnonzero(own == left[0])
+            j = i if same else np.flatnonzero(own == right[0])
             out = []
             for at in range(0, len(i), 32):
                 x = i[at : at + 32]
@@ -287,22 +335,8 @@ def likely_pairs(cells: DataFrame, block: int = BLOCK) -> DataFrame:
                 agree &= (part[x, None] != part[None, j]) & (np.minimum(n[x, None], n[None, j]) >= SIMILAR * np.maximum(n[x, None], n[None, j]))
                 p, q = np.nonzero(agree)
                 out.append(np.stack([key[x[p]], key[j[q]]], 1))
-            found = np.unique(np.sort(np.concatenate(out), 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
-
-        rest: list[pa.RecordBatch] = []
-        for batch in batches:
-            # Whole groups of (cell, left, right), in order; the last one may go on in the next batch.
-            rows = pa.Table.from_batches([*rest, batch]).combine_chunks()
-            if not rows.num_rows:
-                continue
-            mark = np.stack([rows.column(c).to_numpy() for c in ("cell", "left", "right")], 1)
-            edges = [0, *(np.flatnonzero((mark[1:] != mark[:-1]).any(1)) + 1).tolist()]
-            for first, past in zip(edges[:-1], edges[1:], strict=True):
-                yield pairs(rows.slice(first, past - first))
-            rest = rows.slice(edges[-1]).combine_chunks().to_batches()
-        if rest and sum(b.num_rows for b in rest):
-            yield pairs(pa.Table.from_batches(rest).combine_chunks())
+            if out:
+                yield pair_batch(np.unique(np.sort(np.concatenate(out), 1), axis=0))
 
     return paired.repartition("cell", "left", "right").sortWithinPartitions("cell", "left", "right").mapInArrow(compare, "a long, b long")
 
@@ -310,18 +344,18 @@ def likely_pairs(cells: DataFrame, block: int = BLOCK) -> DataFrame:
 def similar_links(docs: DataFrame, classes: DataFrame, text_col: str) -> DataFrame:
     """(a, b): links that connect classes (key, fp, n, cells, values) whose shingle sets have a similarity of at least SIMILAR.
 
-    The grid proposes the pairs within its reach. In each band's cell the class with the smallest key is held against
-    all others; it and those that it links with leave the cell, and the rest go on, until no cell has two: a cell of
-    many copies costs a pair for each. At last, what shares a cell and isn't connected by then is compared pair by pair
-    on the smallest values, and verified where they agree.
+    The grid proposes the pairs within its reach, and each band's cell a pair for each of its classes; all are verified
+    on the sets. Then what shares a cell and isn't connected yet is compared pair by pair on the smallest values, and
+    verified where they agree.
     """
     named = classes.groupBy("fp").agg(F.min("key").alias("first"))
     near = links(classes.select("fp").distinct()).join(named.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(named.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
     equal = classes.join(named, "fp").filter("key <> first").select(F.col("first").alias("x"), F.col("key").alias("y"))
-    proposed = cut(near.unionByName(equal).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-    cells = classes.select("key", "n", F.explode("cells").alias("cell"))
+    cells = classes.select("key", "n", "values", F.explode("cells").alias("cell"))
     several = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("cell")
-    cells = shared = cut(cells.join(several, "cell"))
+    cells = cut(cells.join(several, "cell"))
+    proposed = near.unionByName(equal).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    proposed = cut(proposed.unionByName(led_pairs(cells)).distinct())
     keys = cells.select("key").unionByName(proposed.select(F.col("a").alias("key"))).unionByName(proposed.select(F.col("b").alias("key"))).distinct()
     sets = cut(shingle_sets(docs, keys, text_col))
 
@@ -331,26 +365,11 @@ def similar_links(docs: DataFrame, classes: DataFrame, text_col: str) -> DataFra
         both = F.size(F.array_intersect("wide_a", "wide_b"))
         return d.filter(both >= SIMILAR * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
 
-    found = [cut(verified(proposed.distinct()))]
-    while True:
-        led = cells.groupBy("cell").agg(F.min(F.struct("key", "n")).alias("first"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("cell", F.col("first.key").alias("a"), F.col("first.n").alias("n_a"))
-        rest = cells.join(led, "cell").filter("key <> a")
-        # Sizes alone rule most of the others out.
-        pairs = cut(rest.filter(F.least("n", "n_a") >= SIMILAR * F.greatest("n", "n_a")).select("a", F.col("key").alias("b")).distinct())
-        hits = cut(verified(pairs))
-        found.append(hits)
-        left = rest.join(hits.select("a", F.col("b").alias("key")), ["a", "key"], "left_anti").select("key", "n", "cell")
-        cells = cut(left)
-        if cells.isEmpty():
-            break
-    def all_of(parts: list[DataFrame]) -> DataFrame:
-        return parts[0] if len(parts) == 1 else parts[0].unionByName(all_of(parts[1:]))
-
-    part = components(all_of(found)).select(F.col("node").alias("key"), F.col("component").alias("part"))
-    shared = shared.join(part, "key", "left").withColumn("part", F.coalesce("part", "key"))
-    mixed = shared.groupBy("cell").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("cell")
-    rows = shared.join(mixed, "cell").join(classes.select("key", "values"), "key")
-    return all_of([*found, cut(verified(cut(likely_pairs(rows).distinct())))])
+    found = cut(verified(proposed))
+    part = components(found).select(F.col("node").alias("key"), F.col("component").alias("part"))
+    cells = cells.join(part, "key", "left").withColumn("part", F.coalesce("part", "key"))
+    mixed = cells.groupBy("cell").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("cell")
+    return found.unionByName(cut(verified(cut(likely_pairs(cells.join(mixed, "cell")).distinct()))))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
