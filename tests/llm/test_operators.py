@@ -59,14 +59,6 @@ def test_packing(spark):
     assert packing.best_fit_pack(packing.pieces(documents(spark, []), TOKENIZER)).count() == 0
 
 
-def brute_moves(counts, owner, shards):
-    total = [sum(n for n, s in zip(counts, owner) if s == k) for k in range(shards)]
-    n = sum(counts)
-    order = sorted(range(shards), key=lambda k: (-total[k], k))
-    bound = [n // shards + (order.index(k) < n % shards) for k in range(shards)]
-    return total, bound
-
-
 @pytest.mark.parametrize("shards", [1, 5, 24])
 def test_sharding(spark, shards):
     rows = some(300)
