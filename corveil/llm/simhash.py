@@ -292,13 +292,12 @@ def pair_batch(pairs: np.ndarray) -> pa.RecordBatch:
 
 
 def led_pairs(cells: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b): in each cell of rows (cell, key, n, values) the first class with all whose smallest values agree with its own often enough, then the first of the rest with its own, and so on.
+    """(a, b): in each cell of rows (cell, m, key, n, values), m rows in all, the first class with all whose smallest values agree with its own often enough, then the first of the rest with its own, and so on.
 
     A pair at most for each row, however many copies a cell holds. Large cells are split by a hash of key and cell, so
     that what one cell's blocks separate meets in another cell.
     """
-    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("m"))
-    split = cells.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("key", "cell"), F.ceil(F.col("m") / block))).select("cell", "block", "key", "n", "values")
+    split = cells.withColumn("block", F.pmod(F.xxhash64("key", "cell"), F.ceil(F.col("m") / block))).select("cell", "block", "key", "n", "values")
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in groups(batches, ("cell", "block")):
@@ -316,9 +315,9 @@ def led_pairs(cells: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def likely_pairs(cells: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b): the pairs of a cell whose parts differ and whose smallest values agree often enough, from rows (cell, key, part, n, values).
+    """(a, b): each class of a cell with the one of another part whose smallest values agree most with its own, if often enough; from rows (cell, key, part, n, values).
 
-    Only such pairs leave a task; large cells are split into pairs of blocks.
+    A row gives at most one pair, or one for each pair of blocks into which a large cell is split.
     """
     paired = block_pairs(cells, "cell", "key", block).select("cell", "left", "right", "own", "key", "part", "n", "values")
 
@@ -329,14 +328,15 @@ def likely_pairs(cells: DataFrame, block: int = BLOCK) -> DataFrame:
             i = np.arange(len(key)) if same else np.flatnonzero(own == left[0])
             j = i if same else np.flatnonzero(own == right[0])
             out = []
-            for at in range(0, len(i), 32):
-                x = i[at : at + 32]
-                agree = (values[x, None] == values[None, j]).sum(2) >= AGREEING
-                agree &= (part[x, None] != part[None, j]) & (np.minimum(n[x, None], n[None, j]) >= SIMILAR * np.maximum(n[x, None], n[None, j]))
-                p, q = np.nonzero(agree)
-                out.append(np.stack([key[x[p]], key[j[q]]], 1))
-            if out:
-                yield pair_batch(np.unique(np.sort(np.concatenate(out), 1), axis=0))
+            for mine, others in ((i, j),) if same else ((i, j), (j, i)):
+                for at in range(0, len(mine), 32):
+                    x = mine[at : at + 32]
+                    agree = (values[x, None] == values[None, others]).sum(2)
+                    agree[(part[x, None] == part[None, others]) | (np.minimum(n[x, None], n[None, others]) < SIMILAR * np.maximum(n[x, None], n[None, others]))] = 0
+                    best = agree.argmax(1)
+                    some = agree[np.arange(len(x)), best] >= AGREEING
+                    out.append(np.stack([key[x[some]], key[others[best[some]]]], 1))
+            yield pair_batch(np.unique(np.sort(np.concatenate(out), 1), axis=0))
 
     return paired.repartition("cell", "left", "right").sortWithinPartitions("cell", "left", "right").mapInArrow(compare, "a long, b long")
 
@@ -345,15 +345,16 @@ def similar_links(docs: DataFrame, classes: DataFrame, text_col: str) -> DataFra
     """(a, b): links that connect classes (key, fp, n, cells, values) whose shingle sets have a similarity of at least SIMILAR.
 
     The grid proposes the pairs within its reach, and each band's cell a pair for each of its classes; all are verified
-    on the sets. Then what shares a cell and isn't connected yet is compared pair by pair on the smallest values, and
-    verified where they agree.
+    on the sets. Then each class is held against the likeliest of those that share a cell and aren't connected with it
+    yet, and verified.
     """
     named = classes.groupBy("fp").agg(F.min("key").alias("first"))
     near = links(classes.select("fp").distinct()).join(named.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(named.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
     equal = classes.join(named, "fp").filter("key <> first").select(F.col("first").alias("x"), F.col("key").alias("y"))
-    cells = classes.select("key", "n", "values", F.explode("cells").alias("cell"))
-    several = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("cell")
-    cells = cut(cells.join(several, "cell"))
+    cells = classes.select("key", F.explode("cells").alias("cell"))
+    several = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    # The values join only what has company.
+    cells = cut(cells.join(several, "cell").join(classes.select("key", "n", "values"), "key"))
     proposed = near.unionByName(equal).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     proposed = cut(proposed.unionByName(led_pairs(cells)).distinct())
     keys = cells.select("key").unionByName(proposed.select(F.col("a").alias("key"))).unionByName(proposed.select(F.col("b").alias("key"))).distinct()
