@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corveil.llm import embeddings, html, langid, matroska, mixing, packing, sharding, simhash, toxicity, urls
+from corveil.llm import divergence, embeddings, html, langid, lexical, matroska, mixing, packing, quality, sharding, simhash, toxicity, urls
 from corveil.llm.common import table
 
 
@@ -17,48 +17,73 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every page, its model taught by all documents."""
     return langid.identify_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of at most 4096 tokens."""
     return packing.best_fit_pack(packing.pieces(table(spark, sf_dir, "documents"), TOKENIZER))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard and slot of every document, under the law `rows`."""
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as media and read back, with digests of both."""
     return matroska.text_media(table(spark, sf_dir, "documents"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document."""
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document, and where."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position", "last_position")
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the component of its links."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule and verdict of every page's address."""
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links and component."""
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far every source is from the others of its language, and its most typical terms."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all documents for every benchmark item."""
+    return lexical.best_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts and whether the base rules and the outlier rule keep it."""
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op3_sharding, op4_media_columns, op5_toxicity, op6_mixing, op7_html_extraction, op8_simhash_near_dedup, op9_url_filters, op10_embedding_near_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op3_sharding, op4_media_columns, op5_toxicity, op6_mixing, op7_html_extraction, op8_simhash_near_dedup, op9_url_filters, op10_embedding_near_dedup, op11_source_divergence, op12_lexical_search, op13_quality_rules)}
 
 
 MIXING = """
@@ -107,6 +132,57 @@ WITH RECURSIVE v AS (
 SELECT v.vec_id, coalesce(n_links, 0) AS n_links, component_id, v.vec_id = component_id AS kept FROM v JOIN least ON least.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id
 """
 
+DIVERGENCE = """
+WITH d AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS words FROM documents
+), w AS (
+  SELECT k, lang, source, unnest(words) AS term FROM d
+), kept AS (
+  SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT k) >= 30
+), groups AS (
+  SELECT DISTINCT lang, source FROM d
+), n AS (
+  SELECT g.lang, g.source, term, coalesce(n, 0)::HUGEINT AS n FROM groups g JOIN kept USING (lang)
+  LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM w GROUP BY lang, source, term) c USING (lang, source, term)
+), p AS (
+  SELECT lang, source, term, n, 1 + (1000000000 * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * count(*) OVER (PARTITION BY lang, source)) AS p FROM n
+), q AS (
+  SELECT lang, term, 1 + (1000000000 * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang)) AS q
+  FROM (SELECT lang, term, sum(n)::HUGEINT AS n FROM n GROUP BY lang, term)
+), f AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+), terms AS (
+  SELECT lang, source, term AS item, p - q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+), r AS (
+  SELECT 'pair' AS part, * FROM pairs UNION ALL SELECT 'term', lang, source, item, value FROM terms
+)
+SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM r
+QUALIFY part = 'pair' OR rank <= 50
+"""
+
+LEXICAL = """
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS words FROM documents
+), i AS (
+  SELECT row_number() OVER () AS q, item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))) AS term FROM benchmark
+), s AS (
+  SELECT count(*) FILTER (len(words) > 0) AS n_docs, sum(len(words))::BIGINT AS n_words FROM d
+), c AS (
+  SELECT k, doc_id, n, term, count(*) AS tf FROM (SELECT k, doc_id, len(words) AS n, unnest(words) AS term FROM d) GROUP BY ALL
+), w AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM c, s WHERE term IN (SELECT term FROM i) GROUP BY term, n_docs
+), r AS (
+  SELECT q, item_id, k, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_words))))::BIGINT AS score
+  FROM i JOIN c USING (term) JOIN w USING (term), s GROUP BY q, item_id, k, doc_id
+)
+SELECT item_id, (row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM r WHERE score > 0
+QUALIFY rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": MIXING, "op10_embedding_near_dedup": EMBEDDINGS}
+    return {"op6_mixing": MIXING, "op10_embedding_near_dedup": EMBEDDINGS, "op11_source_divergence": DIVERGENCE, "op12_lexical_search": LEXICAL}
