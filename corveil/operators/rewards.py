@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corveil.functions import answers as A
+from corveil.functions import mathexpr
 from corveil.functions import text as T
 
 BOXED_TYPES = ("numeric", "string_match", "multiple_choice", "number_list", "list_string_match", "counting", "search", "web_action")
@@ -76,18 +77,18 @@ def judge_blend(rule: Column, judge: Column, reward_type: Column, weight: float)
 
 
 def accuracy(pred: Column, gold: Column, reward_type: Column) -> Column:
-    """The accuracy that the type of reward asks for; llm_judge gives 0 until the judge's score comes in."""
+    """The accuracy that the type of reward asks for, mathematical equality where it asks for none in particular; llm_judge gives 0 until the judge's score comes in."""
     kind = reward_type
     for alias, name in ALIASES.items():
         kind = F.when(kind == alias, name).otherwise(kind)
     answer = T.extract_answer(pred)
-    box = F.get(A.boxed(answer), 0)
-    return T.let(scored, F.coalesce(box, answer), gold, kind)
+    answer = F.coalesce(F.get(A.boxed(answer), 0), answer)
+    other = F.coalesce(~kind.isin(*BOXED_TYPES, "llm_judge"), F.lit(True))
+    return T.let(scored, answer, gold, kind, mathexpr.math_equal(F.when(other, answer), gold))
 
 
-def scored(answer: Column, gold: Column, kind: Column) -> Column:
+def scored(answer: Column, gold: Column, kind: Column, equal: Column) -> Column:
     numeric = (T.grade_numeric(T.to_number(answer), T.to_number(gold)) == 1).cast("double")
-    default = (F.lower(F.trim(answer)) == F.lower(F.trim(gold))).cast("double")
     return (
         F.when(kind == "numeric", numeric)
         .when(kind.isin("string_match", "counting", "search"), string_match(answer, gold))
@@ -96,7 +97,7 @@ def scored(answer: Column, gold: Column, kind: Column) -> Column:
         .when(kind == "list_string_match", list_string_match(answer, F.split(gold, r"\|")))
         .when(kind == "web_action", web_action(answer, gold))
         .when(kind == "llm_judge", 0.0)
-        .otherwise(default)
+        .otherwise(equal.cast("double"))
     )
 
 

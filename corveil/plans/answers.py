@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corveil.functions import answers as A
-from corveil.functions import constraints, parse
+from corveil.functions import constraints, mathexpr, parse
 from corveil.operators import judging, responses
 from corveil.plans.catalog import query, table
 
@@ -127,10 +127,10 @@ def latex_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT user_id, round(avg(avg_score), 4) AS accuracy FROM (SELECT user_id, event_type, avg((event_id % 3 = 0)::INTEGER) AS avg_score FROM events GROUP BY 1, 2) GROUP BY 1""")
 def nested_mean_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """mathvision: the mean over a question's responses, then over questions, in four decimals."""
+    """mathvision: answers that agree in two decimals; the mean over a question's responses, then over questions, in four decimals."""
     i = F.col("event_id")
-    said = F.when(i % 3 == 0, F.concat(F.lit("\\boxed{x="), i.cast(TEXT), F.lit("/7}"))).otherwise("\\boxed{0}")
-    hit = A.latex_norm(A.final_answer(said)) == A.latex_norm(F.concat(F.lit("\\tfrac{"), i.cast(TEXT), F.lit("}{7}")))
+    said = F.when(i % 3 == 0, F.concat(F.lit("\\boxed{"), F.format_string("%.3f", i / 7), F.lit("}"))).otherwise(F.concat(F.lit("\\boxed{"), i.cast(TEXT), F.lit("/7+0.02}")))
+    hit = mathexpr.math_equal_in_two_decimals(A.final_answer(said), F.concat(F.lit("\\tfrac{"), i.cast(TEXT), F.lit("}{7}")))
     q = table(spark, sf_dir, "events").select("user_id", "event_type", hit.cast("int").alias("hit")).groupBy("user_id", "event_type").agg(F.avg("hit").alias("s"))
     return q.groupBy("user_id").agg(F.round(F.avg("s"), 4).alias("accuracy"))
 
