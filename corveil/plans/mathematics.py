@@ -42,7 +42,7 @@ def fraction_forms(**n: Column) -> list[Column]:
 WITH n AS ({NUMBERS}), v AS (
   SELECT *, CASE k WHEN 2 THEN a + 1 WHEN 3 THEN 2 * a WHEN 4 THEN a * c WHEN 6 THEN a + (c - d) * b WHEN 7 THEN a + d - c ELSE a END AS p, CASE k WHEN 3 THEN 2 * b WHEN 4 THEN b * c ELSE b END AS q FROM n
 )
-SELECT o_orderkey, CASE WHEN k = 8 THEN d + 6 = 1 OR a = b ELSE q <> 0 AND p * b = a * q END AS equal, CASE WHEN k = 8 THEN a ELSE p END * (CASE WHEN a = 0 THEN 0 ELSE 1 END) <> 0 AS not_zero FROM v""")
+SELECT o_orderkey, CASE WHEN k = 8 THEN d + 6 = 1 OR a = b OR a = 0 ELSE q <> 0 AND p * b = a * q END AS equal, p <> 0 AS not_zero FROM v""")
 def math_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fn_math_equal: sums, products, roots, powers and quotients against one fraction."""
     d = numbers(spark, sf_dir)
