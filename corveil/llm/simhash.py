@@ -212,13 +212,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, reach: int = REACH, id_co
     return grouped(docs, shingle, reach, id_col, text_col).select("doc_id", "fp", "component_id")
 
 
-#: Bands of so many smallest hashes each: of pairs at the similarity 0.8 all but 1 in 5,000 share a band.
-BANDS, BAND = 16, 4
+#: Bands of so many smallest hashes each: of pairs at the similarity 0.8 all but 3 in a million share a band.
+BANDS, BAND = 24, 4
 #: Odd multipliers of the hash functions whose smallest values are taken.
 MULTIPLIERS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * BAND, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 SIMILAR, WIDE = 0.8, 5
-#: Pairs of which fewer of the smallest values agree (in their last byte) aren't verified: of those at the similarity 0.8 about 1 in 5,000.
-AGREEING = 40
+#: Texts of a cell whose sets are held against each other in one task; groups of up to FEW pair by pair.
+SETS, FEW = 1024, 12
 
 
 def wide_shingles(text: str, narrow: np.ndarray) -> np.ndarray:
@@ -230,30 +230,27 @@ def wide_shingles(text: str, narrow: np.ndarray) -> np.ndarray:
     return np.unique(mixed * np.uint64(0xBF58476D1CE4E5B9))
 
 
-def bands(wide: np.ndarray) -> tuple[list[int], bytes]:
-    """A key for each band of the smallest values that the hash functions take on a set, and the last byte of each value; sets without any element share theirs."""
+def bands(wide: np.ndarray) -> list[int]:
+    """A key for each band of the smallest values that the hash functions take on a set; sets without any element share theirs."""
     least = np.full(BANDS * BAND, (1 << 64) - 1, np.uint64)
     for at in range(0, len(wide), 4096):
         least = np.minimum(least, (wide[at : at + 4096, None] * MULTIPLIERS).min(0))
-    return [xxhash.xxh64_intdigest(least[k * BAND : (k + 1) * BAND].tobytes(), k) - (1 << 63) for k in range(BANDS)], least.astype(np.uint8).tobytes()
+    return [xxhash.xxh64_intdigest(least[k * BAND : (k + 1) * BAND].tobytes(), k) - (1 << 63) for k in range(BANDS)]
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, key, fp, n, cells, values) of every row: the three-word fingerprint, the number of distinct five-word shingles and their bands."""
+    """(doc_id, key, fp, cells) of every row: the three-word fingerprint and the bands of the five-word shingles."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, n, cells, values = [], [], [], []
+            fp, cells = [], []
             for x in batch.column(2):
                 text = x.as_py() or ""
                 narrow = shingle_hashes(text)
-                wide = wide_shingles(text, narrow)
                 fp.append(majority(narrow))
-                n.append(len(wide))
-                for column, x in zip((cells, values), bands(wide), strict=True):
-                    column.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(cells, pa.list_(pa.int64())), pa.array(values, pa.binary())], ["doc_id", "key", "fp", "n", "cells", "values"])
+                cells.append(bands(wide_shingles(text, narrow)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp, pa.int64()), pa.array(cells, pa.list_(pa.int64()))], ["doc_id", "key", "fp", "cells"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text")).mapInArrow(read, "doc_id long, key long, fp long, n long, cells array<long>, values binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text")).mapInArrow(read, "doc_id long, key long, fp long, cells array<long>")
 
 
 def shingle_sets(docs: DataFrame, keys: DataFrame, text_col: str) -> DataFrame:
@@ -283,94 +280,90 @@ def groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Itera
         yield pa.Table.from_batches(rest).combine_chunks()
 
 
-def least_values(rows: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(rows.column("values").to_pylist()), np.uint8).reshape(-1, BANDS * BAND)
-
-
-def pair_batch(pairs: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-
-def led_pairs(cells: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b): in each cell of rows (cell, m, key, n, values), m rows in all, the first class with all whose smallest values agree with its own often enough, then the first of the rest with its own, and so on.
-
-    A pair at most for each row, however many copies a cell holds. Large cells are split by a hash of key and cell, so
-    that what one cell's blocks separate meets in another cell.
+def similar(sets: list[np.ndarray], part: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs of sets (sorted, without repeats) of left and right that are of different parts and similar enough."""
+    n = np.array([len(x) for x in sets])
+    alike = lambda both, i, j: both >= SIMILAR * (n[i] + n[j] - both)
+    if len(left) * len(right) <= FEW * FEW:
+        i, j = (x.ravel() for x in np.meshgrid(left, right, indexing="ij"))
+        near = (part[i] != part[j]) & (np.minimum(n[i], n[j]) >= SIMILAR * np.maximum(n[i], n[j]))
+        i, j = i[near], j[near]
+        both = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+        return i[alike(both, i, j)], j[alike(both, i, j)]
+    # Common elements as a product of 0-1 matrices, some thousand elements at a time; what only one set holds plays no part.
+    row = np.repeat(np.arange(len(sets)), n)
+    _, element, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[element] > 1
+    row, element = row[shared], np.unique(element[shared], return_inverse=True)[1]
+    by = np.argsort(element, kind="stable")
+    row, element = row[by], element[by]
+    both = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(element[-1]) + 1 if len(element) else 0, 4096):
+        first, past = np.searchsorted(element, (at, at + 4096))
+        x = np.zeros((len(sets), 4096), np.float32)
+        x[row[first:past], element[first:past] - at] = 1
+        both += x[left] @ x[right].T
+    i, j = np.nonzero((both >= SIMILAR * (n[left][:, None] + n[right][None, :] - both)) & (part[left][:, None] != part[right][None, :]))
+    return left[i], right[j]
+
+
+def pairs_of_cells(cells: DataFrame, block: int = SETS) -> DataFrame:
+    """(a, b): links that connect all classes of a cell that are of different parts and similar enough; from rows (cell, key, part, wide).
+
+    Every pair of a cell is held against each other on the whole sets, in pairs of blocks where a cell is large; links
+    between parts that a task has already connected are left out.
     """
-    split = cells.withColumn("block", F.pmod(F.xxhash64("key", "cell"), F.ceil(F.col("m") / block))).select("cell", "block", "key", "n", "values")
-
-    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in groups(batches, ("cell", "block")):
-            key, n, values = rows.column("key").to_numpy(), rows.column("n").to_numpy(), least_values(rows)
-            left, out = np.arange(len(key)), []
-            while len(left) > 1:
-                first, left = left[0], left[1:]
-                fits = ((values[left] == values[first]).sum(1) >= AGREEING) & (np.minimum(n[left], n[first]) >= SIMILAR * np.maximum(n[left], n[first]))
-                out.append(np.stack([np.full(fits.sum(), key[first]), key[left[fits]]], 1))
-                left = left[~fits]
-            if out:
-                yield pair_batch(np.concatenate(out))
-
-    return split.repartition("cell", "block").sortWithinPartitions("cell", "block", "key").mapInArrow(lead, "a long, b long")
-
-
-def likely_pairs(cells: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b): each class of a cell with the one of another part whose smallest values agree most with its own, if often enough; from rows (cell, key, part, n, values).
-
-    A row gives at most one pair, or one for each pair of blocks into which a large cell is split.
-    """
-    paired = block_pairs(cells, "cell", "key", block).select("cell", "left", "right", "own", "key", "part", "n", "values")
+    paired = block_pairs(cells, "cell", "key", block).select("cell", "left", "right", "own", "key", "part", "wide")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in groups(batches, ("cell", "left", "right")):
-            left, right, own, key, part, n = (rows.column(c).to_numpy() for c in ("left", "right", "own", "key", "part", "n"))
-            values, same = least_values(rows), left[0] == right[0]
-            i = np.arange(len(key)) if same else np.flatnonzero(own == left[0])
-            j = i if same else np.flatnonzero(own == right[0])
-            out = []
-            for mine, others in ((i, j),) if same else ((i, j), (j, i)):
-                for at in range(0, len(mine), 32):
-                    x = mine[at : at + 32]
-                    agree = (values[x, None] == values[None, others]).sum(2)
-                    agree[(part[x, None] == part[None, others]) | (np.minimum(n[x, None], n[None, others]) < SIMILAR * np.maximum(n[x, None], n[None, others]))] = 0
-                    best = agree.argmax(1)
-                    some = agree[np.arange(len(x)), best] >= AGREEING
-                    out.append(np.stack([key[x[some]], key[others[best[some]]]], 1))
-            yield pair_batch(np.unique(np.sort(np.concatenate(out), 1), axis=0))
+            left, right, own, key, part = (rows.column(c).to_numpy() for c in ("left", "right", "own", "key", "part"))
+            sets = [np.sort(x) for x in (np.asarray(v.values) for v in rows.column("wide"))]
+            whole = left[0] == right[0]
+            every = np.arange(len(key))
+            i, j = similar(sets, part, every if whole else np.flatnonzero(own == left[0]), every if whole else np.flatnonzero(own == right[0]))
+            parent: dict[int, int] = {}
+            joined = []
+            for a, b in zip(i.tolist(), j.tolist(), strict=True):
+                x, y = int(part[a]), int(part[b])
+                while x in parent:
+                    x = parent[x]
+                while y in parent:
+                    y = parent[y]
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    joined.append((key[a], key[b]))
+            if joined:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in joined], pa.int64()), pa.array([b for _, b in joined], pa.int64())], ["a", "b"])
 
     return paired.repartition("cell", "left", "right").sortWithinPartitions("cell", "left", "right").mapInArrow(compare, "a long, b long")
 
 
 def similar_links(docs: DataFrame, classes: DataFrame, text_col: str) -> DataFrame:
-    """(a, b): links that connect classes (key, fp, n, cells, values) whose shingle sets have a similarity of at least SIMILAR.
+    """(a, b): links that connect classes (key, fp, cells) whose shingle sets have a similarity of at least SIMILAR.
 
-    The grid proposes the pairs within its reach, and each band's cell a pair for each of its classes; all are verified
-    on the sets. Then each class is held against the likeliest of those that share a cell and aren't connected with it
-    yet, and verified.
+    The grid proposes the pairs within its reach, and each band's cell its first class with each other; all are
+    verified on the sets. Cells in which more than one part is left then hold all their sets against each other, so
+    that of the classes that share a cell no link between parts is missed.
     """
     named = classes.groupBy("fp").agg(F.min("key").alias("first"))
     near = links(classes.select("fp").distinct()).join(named.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(named.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
     equal = classes.join(named, "fp").filter("key <> first").select(F.col("first").alias("x"), F.col("key").alias("y"))
     cells = classes.select("key", F.explode("cells").alias("cell"))
-    several = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    # The values join only what has company.
-    cells = cut(cells.join(several, "cell").join(classes.select("key", "n", "values"), "key"))
-    proposed = near.unionByName(equal).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    proposed = cut(proposed.unionByName(led_pairs(cells)).distinct())
+    several = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.min("key").alias("first")).filter("m > 1").select("cell", "first")
+    cells = cut(cells.join(several, "cell"))
+    led = cells.filter("key <> first").select(F.col("first").alias("x"), F.col("key").alias("y"))
+    proposed = cut(near.unionByName(equal).unionByName(led).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     keys = cells.select("key").unionByName(proposed.select(F.col("a").alias("key"))).unionByName(proposed.select(F.col("b").alias("key"))).distinct()
     sets = cut(shingle_sets(docs, keys, text_col))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        sides = [sets.select(F.col("key").alias(c), F.col("wide").alias(f"wide_{c}"), F.size("wide").alias(f"n_{c}")) for c in ("a", "b")]
-        d = pairs.join(sides[0], "a").join(sides[1], "b").filter(F.least("n_a", "n_b") >= SIMILAR * F.greatest("n_a", "n_b"))
-        both = F.size(F.array_intersect("wide_a", "wide_b"))
-        return d.filter(both >= SIMILAR * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
-
-    found = cut(verified(proposed))
+    sides = [sets.select(F.col("key").alias(c), F.col("wide").alias(f"wide_{c}"), F.size("wide").alias(f"n_{c}")) for c in ("a", "b")]
+    d = proposed.join(sides[0], "a").join(sides[1], "b").filter(F.least("n_a", "n_b") >= SIMILAR * F.greatest("n_a", "n_b"))
+    both = F.size(F.array_intersect("wide_a", "wide_b"))
+    found = cut(d.filter(both >= SIMILAR * (F.col("n_a") + F.col("n_b") - both)).select("a", "b"))
     part = components(found).select(F.col("node").alias("key"), F.col("component").alias("part"))
-    cells = cells.join(part, "key", "left").withColumn("part", F.coalesce("part", "key"))
+    cells = cells.select("cell", "key").join(part, "key", "left").withColumn("part", F.coalesce("part", "key"))
     mixed = cells.groupBy("cell").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("cell")
-    return found.unionByName(cut(verified(cut(likely_pairs(cells.join(mixed, "cell")).distinct()))))
+    return found.unionByName(cut(pairs_of_cells(cells.join(mixed, "cell").join(sets, "key"))))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -382,7 +375,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     which any one stays. An id whose texts are in several groups may stay in each.
     """
     rows = cut(sketches(docs, id_col, text_col))
-    classes = cut(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("values").alias("values")))
+    classes = cut(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("cells").alias("cells")))
     near = components(similar_links(docs, classes, text_col)).select(F.col("node").alias("key"), "component")
     grouped = classes.select("key", "least").join(near, "key", "left").withColumn("component", F.coalesce("component", "key"))
     name, key = fresh(docs, "kept"), fresh(docs, "key")

@@ -418,3 +418,35 @@ def test_one_hot_cell(spark):
     fps = spark.createDataFrame([(k,) for k in range(64)], "fp long").selectExpr("shiftleft(1L, cast(fp as int)) as fp")
     linked = common.components(simhash.links(fps, 3, 8)).collect()
     assert {r["component"] for r in linked} == {-(1 << 63)} and len(linked) == 64
+
+
+@pytest.mark.parametrize("size", [30, 300, 3000])
+def test_variants_of_one_text_are_one_group(spark, size):
+    """Texts that are near copies of one text only, and further from each other than the bound."""
+    rng = random.Random(size)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    rows = [(size + 7, " ".join(base), "en", "a")]
+    for k in range(size):
+        words = list(base)
+        words[rng.randrange(60)] = f"v{k}"
+        rows.append((k + 5, " ".join(words), "en", "a"))
+    far = [f"u{rng.randrange(10**6)}" for _ in range(60)]
+    rows += [(1, " ".join(far), "en", "a"), (2, " ".join([*far[:30], *base[:30]]), "en", "a")]
+    kept = {r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(rows, DOCS)).collect()}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(56)} for i, t, *_ in rows}
+    middle = sets[size + 7]
+    assert all(len(middle & sets[k + 5]) >= 0.8 * len(middle | sets[k + 5]) for k in range(size))
+    assert kept == {1, 2, 5}
+
+
+@pytest.mark.parametrize("few", [1, 100])
+def test_sets_are_held_against_each_other(monkeypatch, few):
+    monkeypatch.setattr(simhash, "FEW", few)
+    rng = np.random.default_rng(few)
+    base = rng.integers(0, 1 << 60, 400)
+    sets = [np.unique(np.where(rng.random(400) < rng.choice([0.01, 0.05, 0.1, 0.3]), rng.integers(0, 1 << 60, 400), base)[: rng.integers(300, 400)]) for _ in range(40)] + [np.zeros(0, np.int64), np.zeros(0, np.int64), np.array([3])]
+    part = rng.integers(0, 12, len(sets))
+    left, right = np.arange(30), np.arange(20, len(sets))
+    i, j = simhash.similar(sets, part, left, right)
+    want = {(a, b) for a in left for b in right if part[a] != part[b] and len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))}
+    assert set(zip(i.tolist(), j.tolist())) == want and len(want) > 10
