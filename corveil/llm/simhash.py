@@ -218,7 +218,7 @@ BANDS, BAND = 24, 4
 MULTIPLIERS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * BAND, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 SIMILAR, WIDE = 0.8, 5
 #: Texts of a cell whose sets are held against each other in one task; groups of up to FEW pair by pair.
-SETS, FEW = 1024, 12
+SETS, FEW = 2048, 12
 
 
 def wide_shingles(text: str, narrow: np.ndarray) -> np.ndarray:
@@ -307,13 +307,14 @@ def similar(sets: list[np.ndarray], part: np.ndarray, left: np.ndarray, right: n
     return left[i], right[j]
 
 
-def pairs_of_cells(cells: DataFrame, block: int = SETS) -> DataFrame:
-    """(a, b): links that connect all classes of a cell that are of different parts and similar enough; from rows (cell, key, part, wide).
+def pairs_of_cells(cells: DataFrame, sets: DataFrame, block: int = SETS) -> DataFrame:
+    """(a, b): links that connect all classes of a cell that are of different parts and similar enough; from rows (cell, key, part) and sets (key, wide).
 
     Every pair of a cell is held against each other on the whole sets, in pairs of blocks where a cell is large; links
     between parts that a task has already connected are left out.
     """
-    paired = block_pairs(cells, "cell", "key", block).select("cell", "left", "right", "own", "key", "part", "wide")
+    # Sets join last, so that they move once.
+    paired = block_pairs(cells, "cell", "key", block).select("cell", "left", "right", "own", "key", "part").join(sets, "key")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in groups(batches, ("cell", "left", "right")):
@@ -379,7 +380,7 @@ def similar_links(docs: DataFrame, classes: DataFrame, text_col: str) -> DataFra
     found = cut(verified(proposed))
     once_more = led(mixed(found)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     found = cut(found.unionByName(verified(once_more)))
-    return found.unionByName(cut(pairs_of_cells(mixed(found).join(sets, "key"))))
+    return found.unionByName(cut(pairs_of_cells(mixed(found), sets)))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
