@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corveil.functions import answers as A
 from corveil.functions import assignment, constraints
 from corveil.functions import text as T
 from corveil.operators import advantages, balance, batch, formatting, losses, metrics, responses, rewards, sampling
@@ -278,3 +279,11 @@ def test_constraints(spark, name, how, good, bad):
 def test_unknown_relation():
     with pytest.raises(ValueError, match="relation"):
         constraints.related(None, "at most", 3)
+
+
+def test_vqa_norm(spark):
+    """Goldens: periods before anything but a digit go, contractions follow the fixed table, two-step forms included."""
+    want = {"it is 5.": "it is 5", "5 oclock.": "5 o'clock", "lets go": "lets go", "couldnt've": "couldn't've", "3.5 m.": "3.5 m", "a cat, the dog": "cat dog", "None": "0", "Ten men": "10 men", "dont; stop": "don't stop", "x/y": "x y", "the man's hat": "man 's hat", "": "", "...": "", "youre\tok?": "you're ok"}
+    d = spark.createDataFrame([(k,) for k in want], "x string")
+    assert {r["x"]: r["y"] for r in d.select("x", A.vqa_norm(F.col("x")).alias("y")).collect()} == want
+    assert spark.createDataFrame([("." * 40,)], "x string").select(A.vqa_norm(F.col("x"))).first()[0] == "." * 8
