@@ -351,8 +351,7 @@ def similar_links(docs: DataFrame, classes: DataFrame, text_col: str) -> DataFra
     """(a, b): links that connect classes (key, fp, cells) whose shingle sets have a similarity of at least SIMILAR.
 
     The grid proposes the pairs within its reach, and the bands a first class for each other one; all are verified on
-    the sets. What is then in cells of several parts is led once more. Cells in which more than one part is still left
-    hold all their sets against each other, so that of the classes that share a cell no link between parts is missed.
+    the sets. Cells in which more than one part is then left hold all their sets against each other, so that of the classes that share a cell no link between parts is missed.
     """
     named = classes.groupBy("fp").agg(F.min("key").alias("first"))
     near = links(classes.select("fp").distinct()).join(named.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(named.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
@@ -364,23 +363,14 @@ def similar_links(docs: DataFrame, classes: DataFrame, text_col: str) -> DataFra
     keys = cells.select("key").unionByName(proposed.select(F.col("a").alias("key"))).unionByName(proposed.select(F.col("b").alias("key"))).distinct()
     sets = cut(shingle_sets(docs, keys, text_col))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        sides = [sets.select(F.col("key").alias(c), F.col("wide").alias(f"wide_{c}"), F.size("wide").alias(f"n_{c}")) for c in ("a", "b")]
-        d = pairs.join(sides[0], "a").join(sides[1], "b").filter(F.least("n_a", "n_b") >= SIMILAR * F.greatest("n_a", "n_b"))
-        both = F.size(F.array_intersect("wide_a", "wide_b"))
-        return d.filter(both >= SIMILAR * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
-
-    def mixed(found: DataFrame) -> DataFrame:
-        """The cells (cell, key, part) in which found links leave more than one part."""
-        part = components(found).select(F.col("node").alias("key"), F.col("component").alias("part"))
-        parted = cells.join(part, "key", "left").withColumn("part", F.coalesce("part", "key"))
-        left = parted.groupBy("cell").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("cell")
-        return cut(parted.join(left, "cell"))
-
-    found = cut(verified(proposed))
-    once_more = led(mixed(found)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    found = cut(found.unionByName(verified(once_more)))
-    return found.unionByName(cut(pairs_of_cells(mixed(found), sets)))
+    sides = [sets.select(F.col("key").alias(c), F.col("wide").alias(f"wide_{c}"), F.size("wide").alias(f"n_{c}")) for c in ("a", "b")]
+    d = proposed.join(sides[0], "a").join(sides[1], "b").filter(F.least("n_a", "n_b") >= SIMILAR * F.greatest("n_a", "n_b"))
+    both = F.size(F.array_intersect("wide_a", "wide_b"))
+    found = cut(d.filter(both >= SIMILAR * (F.col("n_a") + F.col("n_b") - both)).select("a", "b"))
+    part = components(found).select(F.col("node").alias("key"), F.col("component").alias("part"))
+    parted = cells.join(part, "key", "left").withColumn("part", F.coalesce("part", "key"))
+    mixed = parted.groupBy("cell").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("cell")
+    return found.unionByName(cut(pairs_of_cells(cut(parted.join(mixed, "cell")), sets)))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
