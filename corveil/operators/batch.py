@@ -41,6 +41,20 @@ def numbered(df: DataFrame, order: list[str], name: str = "_idx", buckets: int =
     return ranked(ranges(df, order[0], buckets=buckets), [], "_bucket", [F.col(c) for c in order], name).drop("_bucket")
 
 
+def highest(df: DataFrame, value: str, k: int, order: list[str], slack: float = 0.001) -> DataFrame:
+    """The k rows with the largest value, equal ones by order: nothing is sorted but what lies above a bound.
+
+    The bound is a quantile of a sketch whose error is at most `slack` of the rows, so that at least k rows, and about
+    k plus 3 * slack of all, lie above it; these are numbered by ranges. No task and no limit takes all k rows.
+    """
+    n = df.count()
+    if k < n:
+        bound = df.approxQuantile(value, [max(0.0, 1 - k / n - 2 * slack)], slack)
+        df = df.filter(F.col(value) >= bound[0]) if bound else df
+    down = "_down"
+    return numbered(df.withColumn(down, -F.col(value)), [down, *order], "_nth").filter(F.col("_nth") < k).drop(down, "_nth")
+
+
 def ranged_sum(df: DataFrame, value: str, bucket: str, order: list[Column], upto: str, whole: str) -> DataFrame:
     """df with the running sum of value in the order of (bucket, *order) and the sum of all, by sums of the buckets."""
     sums = df.groupBy(bucket).agg(F.sum(value).alias("_s"))

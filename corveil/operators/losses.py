@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corveil.functions import text as T
+from corveil.operators import batch
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
@@ -98,15 +99,15 @@ def covariance(df: DataFrame) -> DataFrame:
     return df.join(F.broadcast(means)).withColumn("cov", (F.col("advantage") - F.col("_a")) * (F.col("logp") - F.col("_l"))).drop("_a", "_l")
 
 
-def top_covariance(df: DataFrame, ratio: float, order: list[Column], n: int) -> DataFrame:
+def top_covariance(df: DataFrame, ratio: float, order: list[str], n: int) -> DataFrame:
     """The max(int(ratio * n), 1) rows with the highest covariance, ties by order."""
-    return covariance(df).orderBy(F.desc("cov"), *order).limit(max(int(ratio * n), 1))
+    return batch.highest(covariance(df), "cov", max(int(ratio * n), 1), order)
 
 
 def kl_cov(df: DataFrame, key: list[str], ratio: float = 2e-4, coefficient: float = 1.0) -> DataFrame:
     """-advantage * ratio, plus coefficient * |logp - old_logp| on the share of tokens with the highest covariance."""
     n = df.filter("mask > 0").count()
-    top = top_covariance(df.filter("mask > 0"), ratio, [F.col(k) for k in key], n).select(*key, F.lit(True).alias("_top"))
+    top = top_covariance(df.filter("mask > 0"), ratio, key, n).select(*key, F.lit(True).alias("_top"))
     d = F.col("logp") - F.col("old_logp")
     loss = -F.col("advantage") * F.exp(d)
     return df.join(top, key, "left").withColumn("loss", loss + F.when(F.col("_top"), coefficient * F.abs(d)).otherwise(0.0)).drop("_top")
@@ -116,7 +117,10 @@ def clip_cov(df: DataFrame, key: list[str], ratio: float = 2e-4, low: float = 1.
     """The clipped loss, zeroed on a hash-drawn max(int(ratio * n), 1) of the tokens whose covariance lies between low and high."""
     d = covariance(vanilla(df))
     n = df.filter("mask > 0").count()
-    drawn = d.filter((F.col("mask") > 0) & (F.col("cov") > low) & (F.col("cov") < high)).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]).cast("binary")), *key).limit(max(int(ratio * n), 1))
+    middling = d.filter((F.col("mask") > 0) & (F.col("cov") > low) & (F.col("cov") < high))
+    # The first 13 digits of the hash as a number: a double holds them, so that the smallest hashes are the largest values.
+    h = F.conv(F.left(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]).cast("binary")), F.lit(13)), 16, 10).cast("double")
+    drawn = batch.highest(middling.select(*key, (-h).alias("_drawn")), "_drawn", max(int(ratio * n), 1), key)
     return d.join(drawn.select(*key, F.lit(True).alias("_out")), key, "left").withColumn("loss", F.when(F.col("_out"), 0.0).otherwise(F.col("loss"))).drop("_out", "cov")
 
 

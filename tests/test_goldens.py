@@ -287,3 +287,14 @@ def test_vqa_norm(spark):
     d = spark.createDataFrame([(k,) for k in want], "x string")
     assert {r["x"]: r["y"] for r in d.select("x", A.vqa_norm(F.col("x")).alias("y")).collect()} == want
     assert spark.createDataFrame([("." * 40,)], "x string").select(A.vqa_norm(F.col("x"))).first()[0] == "." * 8
+
+
+@pytest.mark.parametrize("k", [1, 7, 300, 999, 1000, 5000])
+def test_highest(spark, k):
+    """Ties across the border go by the order columns; more rows than there are give all."""
+    rows = [(i, float(i * 7919 % 40) if i % 3 else -1.5) for i in range(1000)]
+    d = spark.createDataFrame(rows, "i long, x double")
+    want = sorted(rows, key=lambda r: (-r[1], r[0]))[:k]
+    out = batch.highest(d, "x", k, ["i"])
+    assert sorted(tuple(r) for r in out.collect()) == sorted(want)
+    assert out.columns == ["i", "x"] and batch.highest(d.limit(0), "x", k, ["i"]).count() == 0
