@@ -20,8 +20,9 @@ OBJECT_ARRAY = r"(?s)(\[\s*\{.*?\}\s*\])"
 
 
 def json_fenced(x: Column) -> Column:
-    """The array in a fenced block, else the first [{...}]; null without one."""
-    return F.coalesce(*[F.nullif(F.regexp_extract(x, p, 1), F.lit("")) for p in (FENCED_ARRAY, OBJECT_ARRAY)])
+    """The array in the first fenced block, else the first [{...}]; each only if it is JSON, null without one."""
+    found = [F.regexp_extract(x, p, 1) for p in (FENCED_ARRAY, OBJECT_ARRAY)]
+    return F.coalesce(*[F.when((part != "") & F.try_parse_json(part).isNotNull(), part) for part in found])
 
 
 def boxes(x: Column) -> Column:

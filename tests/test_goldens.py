@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corveil.functions import answers as A
-from corveil.functions import assignment, constraints
+from corveil.functions import assignment, constraints, parse
 from corveil.functions import text as T
 from corveil.operators import advantages, balance, batch, formatting, losses, metrics, responses, rewards, sampling
 
@@ -298,3 +298,19 @@ def test_highest(spark, k):
     out = batch.highest(d, "x", k, ["i"])
     assert sorted(tuple(r) for r in out.collect()) == sorted(want)
     assert out.columns == ["i", "x"] and batch.highest(d.limit(0), "x", k, ["i"]).count() == 0
+
+
+def test_fenced_arrays(spark):
+    """A fenced block that is no JSON gives way to the first array of objects, and that to null."""
+    rows = {
+        '```json\n[{"a": 1}]\n```': '[{"a": 1}]',
+        "```\n[1, 2]\n```": "[1, 2]",
+        '```json\n[oops]\n``` but [{"b": 2}]': '[{"b": 2}]',
+        "```json\n[oops]\n``` and [{b}]": None,
+        "[{b}]": None,
+        'x [ {"c": [1]} ] y': '[ {"c": [1]} ]',
+        "nothing": None,
+        "": None,
+    }
+    d = spark.createDataFrame([(k,) for k in rows], "x string")
+    assert {r["x"]: r["y"] for r in d.select("x", parse.json_fenced(F.col("x")).alias("y")).collect()} == rows
