@@ -314,3 +314,9 @@ def test_fenced_arrays(spark):
     }
     d = spark.createDataFrame([(k,) for k in rows], "x string")
     assert {r["x"]: r["y"] for r in d.select("x", parse.json_fenced(F.col("x")).alias("y")).collect()} == rows
+
+
+def test_final_answer_without_wrappers(spark):
+    rows = {r"\text{a {b}}": "a {b}", r"\text{\text{q}}": "q", r"\boxed{\text{\text{ x }}}": "x", r"\text{a} b": r"\text{a} b", r"\text{a}{b}": r"\text{a}{b}", "<answer>\\text{ yes }</answer>": "yes", "plain": "plain"}
+    d = spark.createDataFrame([(k,) for k in rows], "x string")
+    assert {r["x"]: r["y"] for r in d.select("x", A.final_answer(F.col("x")).alias("y")).collect()} == rows
