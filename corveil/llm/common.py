@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Nodes with over 1/HUBS of the edges, and HUB at least, are joined by broadcast.
 HUBS, HUB = 5000, 1000
+#: Edges a task of the component search holds about, and the fewest tasks it runs.
+EDGES, TASKS = 250_000, 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,19 +72,24 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates the large-star and small-star steps until the edges are stars around their smallest node. Each step is
     a grouped minimum and a join back, so that no component is ever in one task; each round is checkpointed. Nodes with
-    more than their share of the edges, at most 2 * HUBS of them, are broadcast instead of gathering their edges.
+    more than their share of the edges, at most 2 * HUBS of them, are broadcast instead of gathering their edges. The
+    number of tasks follows that of the edges, so that small edge tables don't leave many small files each round.
     """
     def stars(e: DataFrame, n: int, large: bool) -> DataFrame:
+        tasks = max(TASKS, 2 * n // EDGES)
         if large:
             e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        e = e.coalesce(tasks)
         least = e.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
         hub = F.col("n") > max(n // HUBS, HUB)
         hubs = F.broadcast(least.filter(hub).select("a", "m"))
         e = e.join(hubs, "a").unionByName(e.join(hubs.select("a"), "a", "left_anti").join(least.filter(~hub).select("a", "m"), "a"))
         m = F.least("a", "m")
         if large:
-            return e.filter("b > a").select(F.col("b").alias("a"), m.alias("b")).distinct()
-        return e.select("b", "m").unionByName(least.select(F.col("a").alias("b"), "m")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+            out = e.filter("b > a").select(F.col("b").alias("a"), m.alias("b"))
+        else:
+            out = e.select("b", "m").unionByName(least.select(F.col("a").alias("b"), "m")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        return out.coalesce(tasks).distinct().coalesce(tasks)
 
     e = cut(edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
