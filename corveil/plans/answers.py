@@ -90,7 +90,7 @@ def infographic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'B' WHEN 1 THEN 'C' WHEN 2 THEN 'A' WHEN 3 THEN 'B' WHEN 4 THEN 'C' END AS choice, (event_id % 6 IN (0, 3))::INTEGER AS hit FROM events""")
 def letter_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """blink, game_qa, embspatial, erqa, cv_bench, mmmu_pro choices: the last letter in brackets, before a space or period, else the option's text."""
+    """blink, game_qa, embspatial, erqa, cv_bench: the last letter in brackets, before a space or period, else the option's text."""
     k, u = F.col("event_id") % 6, text("user_id")
     options = F.create_map(F.lit("A"), F.concat(F.lit("plum "), u), F.lit("B"), F.concat(F.lit("oven "), u), F.lit("C"), F.concat(F.lit("lily "), u))
     x = F.when(k == 0, "(A) no, (B)").when(k == 1, "<think>(A)</think> \\boxed{C}").when(k == 2, "It is A.").when(k == 3, "b").when(k == 4, F.concat(F.lit("we see here the Lily "), u, F.lit(" in the room"))).otherwise("none")
@@ -98,6 +98,41 @@ def letter_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", choice.alias("choice"), F.coalesce((choice == "B").cast("int"), F.lit(0)).alias("hit"))
 
 
+MARKED = ", ".join(f"({rank}, {rule}, '{before}', '{behind}')" for rule, (rank, before, behind) in enumerate(A.LETTER_MARKS))
+PHRASES = ", ".join(f"'{p}'" for p in A.CHOICE_PHRASES)
+
+
+def ranked_letter_sql(rows: str, keys: str) -> str:
+    """DuckDB SQL of the ranked letters A to D: rows gives (keys, x, texts by letter a to d)."""
+    cleaned = r"regexp_replace(x, '^\s+|\s+$', '', 'g')"
+    for mark in ",.!?;:'\"":
+        cleaned = f"trim({cleaned}, '{mark.replace(chr(39), chr(39) * 2)}')"
+    return f"""
+WITH r AS ({rows}), s AS (SELECT *, ' ' || {cleaned} || ' ' AS y FROM r), t AS (SELECT *, upper(y) AS u, lower(y) AS l, regexp_replace(upper(y), '^\\s+|\\s+$', '', 'g') AS bare FROM s),
+o AS (SELECT t.*, v.k, v.c, CASE v.k WHEN 1 THEN a WHEN 2 THEN b WHEN 3 THEN c_ ELSE d END AS choice, list_min([strpos(l, p) for p in [{PHRASES}] if strpos(l, p) > 0]) AS spoken FROM t, (VALUES (1, 'A'), (2, 'B'), (3, 'C'), (4, 'D')) v(k, c)),
+marks AS (SELECT o.*, m.rank, m.rule, m.before || o.c || m.behind AS mark FROM o, (VALUES {MARKED}) m(rank, rule, before, behind) UNION ALL SELECT *, 8, 11, k || '. ' || c FROM o UNION ALL SELECT *, 0, 13, c FROM o),
+found AS (
+  SELECT {keys}, rank, rule, k, c, length(u) - strpos(reverse(u), reverse(mark)) - length(mark) + 1 AS place FROM marks WHERE contains(u, mark)
+  UNION ALL SELECT {keys}, 7, 8, k, c, spoken + strpos(substr(u, spoken), c) - 2 FROM o WHERE strpos(substr(u, spoken), c) > 0
+  UNION ALL SELECT {keys}, 10, 9, k, c, 0 FROM o WHERE starts_with(bare, c) UNION ALL SELECT {keys}, 9, 10, k, c, length(y) - 1 FROM o WHERE suffix(bare, c)
+  UNION ALL SELECT {keys}, 0.5, 12, k, c, length(l) - strpos(reverse(l), reverse(lower(choice))) - length(choice) + 1 FROM o WHERE contains(l, lower(choice)) AND len(regexp_split_to_array(trim(y), '\\s+')) > 5
+)
+SELECT {keys}, c AS letter FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY rank DESC, place, rule, k) AS n FROM found) WHERE n = 1"""
+
+
+LETTERED = "SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN role || ' (b) ' || text WHEN 2 THEN 'Answer: ' || text || ' Option is d' ELSE '3. C, or ' || text END AS x, 'than' AS a, 'the end' AS b, role AS c_, 'in there' AS d FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL"
+
+
+@query(ranked_letter_sql(LETTERED, "conv_id, turn"))
+def ranked_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mmmu_pro choices, fn_mmmu_parse: the letter of whole conversation turns by rank and place."""
+    k, x = F.col("turn") % 4, F.col("text")
+    said = F.when(k == 0, x).when(k == 1, F.concat("role", F.lit(" (b) "), x)).when(k == 2, F.concat(F.lit("Answer: "), x, F.lit(" Option is d"))).otherwise(F.concat(F.lit("3. C, or "), x))
+    options = F.create_map(F.lit("A"), F.lit("than"), F.lit("B"), F.lit("the end"), F.lit("C"), F.col("role"), F.lit("D"), F.lit("in there"))
+    rows = table(spark, sf_dir, "conversations").filter("text is not null and role is not null")
+    return rows.select("conv_id", "turn", A.ranked_letter(said, options).alias("letter")).filter("letter is not null")
+
+
 @query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN (user_id % 2)::INTEGER WHEN 2 THEN 1 ELSE 0 END::DOUBLE AS exact FROM events""")
 def listed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """realworldqa: the option's letter if the question lists options, else the response."""

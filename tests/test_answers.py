@@ -112,3 +112,32 @@ def test_corpus_scores(spark):
     assert metrics.ter(d, "p", "g").first()["ter"] == pytest.approx(100 / 6)
     assert metrics.chrf(d.limit(1), "p", "g").first()["chrf"] == pytest.approx(100)
     assert metrics.chrf(spark.createDataFrame([("ab", "cd")], "p string, g string"), "p", "g").first()["chrf"] == 0
+
+
+@pytest.mark.parametrize(
+    ("said", "want"),
+    [
+        ("(A) is wrong. B", "B"),
+        ("A", "A"),
+        ("b.", "B"),
+        ("I see. \\boxed{D}", "D"),
+        ("\\boxed{\\text{(C)}} not B", "C"),
+        ("It must be (C), not D: no", "C"),
+        ("Not D: or C) hm", "D"),
+        ("We take 3. C here", "C"),
+        # Within the phrase the A of ANSWER comes first.
+        ("The answer is C here", "A"),
+        ("I pick D though", "C"),
+        ("B-x is it", "B"),
+        ("xx D= yy C_ zz", "D"),
+        ("we think the lily is in the room", "D"),
+        ("one two three violet rug six", "B"),
+        ("oxy", None),
+        ("hobby", "B"),
+        ("  ", None),
+        (None, None),
+    ],
+)
+def test_ranked_letter(spark, said, want):
+    options = F.create_map(*[F.lit(v) for v in ("A", "plum", "B", "violet rug", "C", "stone", "D", "lily")])
+    assert spark.createDataFrame([(said,)], "x string").select(A.ranked_letter(F.col("x"), options).alias("v")).first()["v"] == want
