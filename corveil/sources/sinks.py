@@ -5,17 +5,21 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from pathlib import Path
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corveil.sources.lines import NO_VALUE, write_lines
+
 
 def split_jsonl(df: DataFrame, path: str, split: str = "split", overwrite: bool = False) -> dict[str, int]:
-    """JSON lines by split; an existing target is an error unless overwritten. The rows of each split."""
-    df.write.partitionBy(split).mode("overwrite" if overwrite else "errorifexists").json(path)
-    return {r[0]: r["n"] for r in df.sparkSession.read.json(path).groupBy(split).agg(F.count(F.lit(1)).alias("n")).collect()}
+    """JSON lines by split; an existing target is an error unless overwritten. The rows of each split, counted as they are written."""
+    found = write_lines(df, path, split, "overwrite" if overwrite else "errorifexists")
+    names = {folder: unquote(folder.partition("=")[2]) for folder in found}
+    return {None if names[folder] == NO_VALUE else names[folder]: n for folder, n in found.items()}
 
 
 def shard_of(index: Column, size: int) -> Column:
@@ -24,7 +28,8 @@ def shard_of(index: Column, size: int) -> Column:
 
 
 def rollout_shards(df: DataFrame, path: str, index: str, size: int) -> None:
-    df.withColumn("shard", shard_of(F.col(index), size)).write.partitionBy("shard").mode("append").json(path)
+    """Appends samples in a folder a shard, each shard's rows from one task."""
+    write_lines(df.withColumn("shard", shard_of(F.col(index), size)).repartition("shard"), path, "shard", "append")
 
 
 def generations(df: DataFrame, path: str, step: int) -> None:
