@@ -47,11 +47,15 @@ def point(x: Column) -> Column:
     return F.when(F.forall(first, lambda v: v.isNotNull()) & (F.size(first) == 2), first)
 
 
+#: Fixed value: an option, its letter and period, white space, and its text to the end of the line.
+OPTION = r"\b([A-Z])\.\s+([^\n]+)"
+
+
 def choices(x: Column) -> Column:
     """Letter to text of options written as `A. text`, one a line."""
     # A letter that comes twice keeps its last text.
-    found = F.regexp_extract_all(x, F.lit(r"(?<!\w)[A-Z]\.\s+[^\n]+"), 0)
-    options = F.transform(found, lambda v: F.struct(F.left(v, F.lit(1)).alias("letter"), F.trim(F.substring(v, 3, 1 << 30)).alias("text")))
+    letters, texts = (F.regexp_extract_all(x, F.lit(OPTION), k) for k in (1, 2))
+    options = F.zip_with(letters, texts, lambda c, t: F.struct(c.alias("letter"), F.trim(t).alias("text")))
     last = F.filter(options, lambda o, i: ~F.exists(F.slice(options, i + 2, F.size(options)), lambda p: p["letter"] == o["letter"]))
     return F.map_from_entries(last)
 
