@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corveil.functions import images
 from corveil.operators import batch, formatting, losses, metrics, sampling
 from corveil.plans.catalog import query, table
 from corveil.sources import readers, sinks
@@ -107,6 +108,24 @@ def split_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return for_reward.agg(F.count(F.lit(1)).alias("rows_in"), F.lit(len(for_model.columns)).alias("model_columns"), F.lit(len(for_reward.columns)).alias("reward_columns")).join(F.broadcast(kept))
 
 
+@query("""WITH n AS (SELECT doc_id, doc_id % 5 AS k, octet_length(encode(text)) AS n FROM documents)
+SELECT doc_id, CASE WHEN k IN (0, 4) THEN 'png' END AS format, CASE WHEN k IN (0, 4) THEN 1024 END::INTEGER AS width, CASE WHEN k IN (0, 4) THEN (greatest(n, 1) + 1023) // 1024 END::INTEGER AS height, k IN (0, 4) AS whole FROM n""")
+def image_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """flt_bad_image: whole texts as the pixels of PNG files; of five one is cut off, one has a flipped bit and one other first bytes."""
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 5).alias("k"), images.png_of("text", F.lit(1024)).alias("image"))
+    size, place = F.length("image"), F.abs(F.xxhash64("doc_id"))
+    cut = F.substring("image", F.lit(1), (F.lit(8) + place % (size - 8)).cast("int"))
+    # Any byte behind the signature: a length, a kind, pixels or a checksum.
+    at = (F.lit(9) + place % (size - 8)).cast("int")
+    byte = F.conv(F.hex(F.substring("image", at, F.lit(1))), 16, 10).cast("int").bitwiseXOR(F.lit(1))
+    flipped = F.concat(F.substring("image", F.lit(1), at - 1), F.unhex(F.lpad(F.hex(byte), 2, "0")), F.substring("image", at + 1, size))
+    other = F.concat(F.encode(F.lit("<html>"), "UTF-8"), "image")
+    d = d.withColumn("image", F.when(F.col("k") == 1, cut).when(F.col("k") == 2, flipped).when(F.col("k") == 3, other).otherwise(F.col("image")))
+    c = images.checked_images(d, "image", "c")
+    whole = images.whole(F.col("c"))
+    return c.select("doc_id", F.when(whole, F.col("c.format")).alias("format"), "c.width", "c.height", whole.alias("whole"))
+
+
 @query("""WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents) SELECT doc_id, i < ceil(n * 0.3) AS share, i < 7 AS whole FROM n WHERE i < ceil(n * 0.3) OR i < 7""")
 def sample_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """flt_sample_limit: a limit below 1 is a share of the rows, rounded up."""
