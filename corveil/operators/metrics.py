@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corveil.operators.batch import ranges, ranked
+from corveil.operators.edits import counted_edits
 
 #: name -> (aggregate of Columns, whether higher is better)
 AGGREGATES: dict[str, tuple[Callable[..., Column], bool]] = {
@@ -54,11 +55,27 @@ def aggregate(name: str, *columns: Column) -> Column:
 
 
 def median_arrival(x: Column, order: Column) -> Column:
-    """The middle element in the order of arrival, not of size: element n // 2, counted from 0."""
+    """The middle element in the order of arrival, not of size: element n // 2, counted from 0; for groups that fit in a row, else `middles`."""
     rows = F.array_sort(F.collect_list(F.struct(order.alias("o"), x.alias("x"))))
     return F.element_at(rows, (F.floor(F.size(rows) / 2) + 1).cast("int"))["x"]
 
 
+def middles(df: DataFrame, keys: list[str], value: str, order: str | None = None) -> DataFrame:
+    """(keys, median) of each group: of the order of arrival by a numeric column `order`, else of size.
+
+    By arrival it is the element n // 2, counted from 0, null values included; by size the mean of the middle one or
+    two values that aren't null. Rows are numbered by ranges, so that no row or task holds a group, and rows of null
+    keys are a group like any other. The columns of `keys` keep their names.
+    """
+    d = df.select(F.struct(*keys).alias("_key"), F.col(value).alias("_v"), F.col(order or value).alias("_o"))
+    d = d if order else d.filter("_o is not null")
+    sizes = d.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    d = ranked(ranges(d, "_o", "_b"), ["_key"], "_b", [F.col("_o")], "_k").join(sizes, "_key")
+    if order:
+        return d.filter("_k = _n div 2").select("_key.*", F.col("_v").alias("median"))
+    return d.filter("_k between (_n - 1) div 2 and _n div 2").groupBy("_key").agg(F.avg("_v").alias("median")).select("_key.*", "median")
+
+
 def confusion(gold: Column, pred: Column) -> dict[str, Column]:
     return {"tp": F.count_if((gold == 1) & (pred == 1)), "fp": F.count_if((gold == 0) & (pred == 1)), "fn": F.count_if((gold == 1) & (pred == 0)), "tn": F.count_if((gold == 0) & (pred == 0))}
 
@@ -213,29 +230,25 @@ def ordered_hash(df: DataFrame, key: str, order: str, text: Column, run: int = 1
     return runs.groupBy(key).agg(joined(F.struct("_run", "h")).alias("task_hash"))
 
 
-def ngram_counts(pred: Column, gold: Column, n: int) -> tuple[Column, Column]:
-    """(matches, candidates) of word n-grams, each counted at most as often as in gold."""
-    def grams(x: Column) -> Column:
-        words = F.filter(F.split(x, r"\s+"), lambda w: w != "")
-        return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
-
-    p, g = grams(pred), grams(gold)
-    count = lambda xs, w: F.size(F.filter(xs, lambda x: x == w))
-    matches = F.aggregate(F.array_distinct(p), F.lit(0), lambda t, w: t + F.least(count(p, w), count(g, w)))
-    return matches, F.size(p)
-
-
 def bleu(df: DataFrame, pred: str, gold: str, order: int = 4) -> DataFrame:
-    """(bleu) of the corpus, 0 to 100: geometric mean of clipped n-gram precisions with the brevity penalty; white space tokens."""
-    words = lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda w: w != ""))
-    sums = [words(F.col(pred)).alias("_words"), words(F.col(gold)).alias("_gold_words")]
-    for n in range(1, order + 1):
-        m, c = ngram_counts(F.col(pred), F.col(gold), n)
-        sums += [m.alias(f"m{n}"), c.alias(f"c{n}")]
-    d = df.select(*sums)
-    d = d.agg(*[F.sum(c).cast("double").alias(c) for c in d.columns])
+    """(bleu) of the corpus, 0 to 100: geometric mean of clipped n-gram precisions with the brevity penalty; white space tokens.
+
+    The n-grams of both sides are counted by row and n-gram, so that long texts cost what their words do.
+    """
+    words = lambda x: F.filter(F.split(x, r"\s+"), lambda w: w != "")
+
+    def grams(side: str, n: int) -> Column:
+        x = F.col(side)
+        return F.when(F.size(x) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(x) - n + 1, F.lit(1))), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(x, i, n), " ").alias("g"), F.lit(side == "_p").alias("p")))).otherwise(F.array().cast("array<struct<n:int,g:string,p:boolean>>"))
+
+    d = df.select(words(F.col(pred)).alias("_p"), words(F.col(gold)).alias("_g"), F.monotonically_increasing_id().alias("_row"))
+    d = d.select("_row", F.explode(F.concat(*[grams(side, n) for side in ("_p", "_g") for n in range(1, order + 1)])).alias("x")).select("_row", "x.*")
+    both = d.groupBy("_row", "n", "g").agg(F.count_if(F.col("p")).alias("a"), F.count_if(~F.col("p")).alias("b"))
+    part = lambda n, x: F.coalesce(F.sum(F.when(F.col("n") == n, x)), F.lit(0)).cast("double")
+    sums = [x for n in range(1, order + 1) for x in (part(n, F.least("a", "b")).alias(f"m{n}"), part(n, F.col("a")).alias(f"c{n}"))]
+    d = both.agg(*sums, part(1, F.col("b")).alias("_gold_words"))
     mean = sum((F.log(F.col(f"m{n}") / F.col(f"c{n}")) for n in range(2, order + 1)), F.log(F.col("m1") / F.col("c1"))) / order
-    full = F.least(F.lit(0.0), 1 - F.col("_gold_words") / F.col("_words"))
+    full = F.least(F.lit(0.0), 1 - F.col("_gold_words") / F.col("c1"))
     some = F.least(*[F.col(f"m{n}") for n in range(1, order + 1)]) > 0
     return d.select(F.when(some, 100 * F.exp(mean + full)).otherwise(0.0).alias("bleu"))
 
@@ -256,24 +269,10 @@ def chrf(df: DataFrame, pred: str, gold: str, order: int = 6, beta: float = 2.0)
     return f.select(F.when(p + r > 0, 100 * (1 + w) * p * r / (w * p + r)).otherwise(0.0).alias("chrf"))
 
 
-def ter(df: DataFrame, pred: str, gold: str) -> DataFrame:
-    """(ter) of the corpus, 0 to 100 and more: word edits over reference words. Without the shifts of whole phrases, which count as edits here."""
-    words = lambda x: F.filter(F.split(F.trim(x), r"\s+"), lambda w: w != "")
-
-    def edits(p: Column, g: Column) -> Column:
-        """The last cell of the edit distance table, built a row at a time."""
-        start = F.transform(F.concat(F.array(F.lit("")), g), lambda _, j: j)
-
-        def row(above: Column, word: Column) -> Column:
-            cells = F.zip_with(F.zip_with(F.slice(above, 1, F.size(g)), F.slice(above, 2, F.size(g)), lambda a, b: F.struct(a.alias("d"), b.alias("u"))), g, lambda c, w: F.struct(F.least(c["d"] + F.when(w == word, 0).otherwise(1), c["u"] + 1).alias("x")))
-            first = F.array(F.get(above, 0) + 1)
-            return F.aggregate(cells, first, lambda out, c: F.concat(out, F.array(F.least(c["x"], F.element_at(out, -1) + 1))))
-
-        return F.element_at(F.aggregate(p, start, row), -1)
-
-    d = df.select(words(F.col(pred)).alias("p"), words(F.col(gold)).alias("g"))
-    d = d.select(edits(F.col("p"), F.col("g")).alias("e"), F.size("g").alias("n"))
-    return d.agg(F.when(F.sum("n") > 0, 100 * F.sum("e") / F.sum("n")).otherwise(F.when(F.sum("e") > 0, 100.0).otherwise(0.0)).alias("ter"))
+def ter(df: DataFrame, pred: str, gold: str, lower: bool = True) -> DataFrame:
+    """(ter) of the corpus, 0 to 100 and more: word edits and shifts of phrases over reference words; in lower case unless told otherwise."""
+    d = counted_edits(df, pred, gold, lower).agg(F.sum("edits").alias("e"), F.sum("words").alias("n"))
+    return d.select(F.when(F.col("n") > 0, 100 * F.col("e") / F.col("n")).when(F.col("e") > 0, 100.0).otherwise(0.0).alias("ter"))
 
 
 def placed(df: DataFrame, value: str, name: str) -> DataFrame:

@@ -172,16 +172,19 @@ def metric_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """agg_mean, agg_median, agg_bypass, agg_perplexity, agg_weighted_mean, agg_weighted_ppl, agg_bits_per_byte, agg_pop_std, agg_mean_stderr."""
     x, p, w = F.col("o_totalprice") / 200000, F.col("o_totalprice"), F.col("o_custkey")
     a = metrics.aggregate
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("task")).agg(
+    o = table(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "task")
+    arrival = metrics.middles(o, ["task"], "o_totalprice", "o_orderkey").withColumnRenamed("median", "median_arrival")
+    size = metrics.middles(o, ["task"], "o_totalprice").select("task", F.round("median", 2).alias("median_sorted"))
+    return o.groupBy("task").agg(
         F.round(a("perplexity", x), 6).alias("perplexity"), F.round(a("weighted_perplexity", x, w), 8).alias("weighted_ppl"), F.round(a("bits_per_byte", x, w), 8).alias("bits_per_byte"), F.round(a("mean", p), 2).alias("mean"),
-        F.round(a("sorted_median", p), 2).alias("median_sorted"), a("median", p, F.col("o_orderkey")).alias("median_arrival"), a("bypass", p).alias("bypass"), F.round(a("pop_std", p), 2).alias("pop_std"), F.round(a("mean_stderr", p), 4).alias("stderr"),
-    )
+        a("bypass", p).alias("bypass"), F.round(a("pop_std", p), 2).alias("pop_std"), F.round(a("mean_stderr", p), 4).alias("stderr"),
+    ).join(arrival, "task").join(size, "task")
 
 
 @query("SELECT user_id, list(value ORDER BY event_id)[len(list(value)) // 2 + 1] AS median FROM events GROUP BY user_id")
 def median_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
     """agg_median as it is: the middle element in the order of arrival."""
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(metrics.median_arrival(F.col("value"), F.col("event_id")).alias("median"))
+    return metrics.middles(table(spark, sf_dir, "events"), ["user_id"], "value", "event_id")
 
 
 @query("""WITH c AS (SELECT sum((quality = 1 AND toxic = 1)::INTEGER)::DOUBLE AS tp, sum((quality = 0 AND toxic = 1)::INTEGER)::DOUBLE AS fp, sum((quality = 1 AND toxic = 0)::INTEGER)::DOUBLE AS fn, sum((quality = 0 AND toxic = 0)::INTEGER)::DOUBLE AS tn,
@@ -351,6 +354,17 @@ def corpus_ter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.ter(table(spark, sf_dir, "benchmark").select(changed.alias("pred"), "text"), "pred", "text").select(F.round("ter", 6).alias("ter"))
 
 
+@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\f\v]+'), lambda w: w <> '') AS w FROM documents)
+SELECT round(100.0 * sum(CASE WHEN len(w) < 5 OR w[1:2] || w[3:5] = w[3:5] || w[1:2] THEN 0 ELSE 1 END) / sum(len(w)), 6)::DOUBLE AS ter, count(*) AS n FROM w""")
+def shifted_ter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """agg_ter: whole documents whose first two words stand three words later, against themselves: one shift each."""
+    w = F.filter(F.split("text", r"[ \t\n\r\f\x0b]+"), lambda w: w != "")
+    moved = F.when(F.size("w") < 5, F.col("w")).otherwise(F.concat(F.slice("w", 3, 3), F.slice("w", 1, 2), F.slice("w", F.lit(6), F.size("w"))))
+    # The search is what costs, so that its rows are dealt to all tasks, however few files hold them.
+    d = table(spark, sf_dir, "documents").repartition(spark.sparkContext.defaultParallelism, "doc_id").select(w.alias("w")).select(F.array_join(moved, " ").alias("pred"), F.array_join("w", " ").alias("gold"))
+    return metrics.ter(d, "pred", "gold").select(F.round("ter", 6).alias("ter")).join(F.broadcast(table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n"))))
+
+
 @query("""SELECT doc_id, rep::INTEGER AS rep, doc_id_n * 3 + rep AS interleaved, rep * total + doc_id_n AS tiled FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS doc_id_n, count(*) OVER () AS total FROM documents), range(0, 3) t(rep)""")
 def repeat_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """bat_repeat: a, a, b, b and a, b, a, b."""
