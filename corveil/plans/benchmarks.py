@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corveil.functions import answers, parse
+from corveil.functions import text as T
 from corveil.operators import batch, formatting, metrics
 from corveil.plans.catalog import query, table
 from corveil.plans.scoring import BOXES, box_columns
@@ -186,14 +189,17 @@ d AS (SELECT doc_id, string_split(lower(text), ' ') AS w FROM documents), e AS (
 SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM e JOIN g USING (gram))""")
 def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """flt_decontam, an extension of the stub: documents that share no eight-word run with a benchmark item."""
-    def grams(df: DataFrame, key: str) -> DataFrame:
-        w = F.split(F.lower("text"), " ")
-        n = F.size(w) - 7
-        runs = F.when(n >= 1, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.array_join(F.slice(w, k, 8), " ")))
-        return df.select(key, F.explode(runs).alias("gram"))
-
-    docs = table(spark, sf_dir, "documents")
-    hit = grams(docs, "doc_id").join(grams(table(spark, sf_dir, "benchmark"), "item_id").select("gram").distinct(), "gram", "left_semi").select("doc_id").distinct()
+    def runs(df: DataFrame, key: str, of: Callable[[Column], Column]) -> DataFrame:
+        # The words are worked out once a text: within the lambda over places they would be once a place.
+        places = lambda w: F.sequence(F.lit(1), F.size(w) - 7)
+        found = T.let(lambda w: F.when(F.size(w) >= 8, F.transform(places(w), lambda k: of(F.slice(w, k, 8)))), F.split(F.lower("text"), " "))
+        return df.select(key, F.explode(found).alias("run"))
+
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    # Hashes tell which documents are worth comparing, the words themselves decide.
+    some = runs(docs, "doc_id", F.xxhash64).join(runs(items, "item_id", F.xxhash64).select("run").distinct(), "run", "left_semi").select("doc_id").distinct()
+    words = lambda run: F.array_join(run, " ")
+    hit = runs(docs.join(some, "doc_id", "left_semi"), "doc_id", words).join(runs(items, "item_id", words).select("run").distinct(), "run", "left_semi").select("doc_id").distinct()
     return docs.select("doc_id", "source").join(hit, "doc_id", "left_anti")
 
 

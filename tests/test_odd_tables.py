@@ -1,5 +1,6 @@
 """Queries against their SQL, or another reading of the rule, on small tables made to be awkward."""
 
+import time
 from collections import Counter
 
 import duckdb
@@ -28,3 +29,14 @@ def test_days_round_the_second_and_keep_events_without_time(spark, tmp_path, zon
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert got == want and sum(want.values()) >= 8
+
+
+def test_runs_of_long_documents_are_cut_from_words_split_once(spark, tmp_path):
+    rest = "SELECT * FROM (VALUES (2::BIGINT, 'W9 w10 w11 w12 w13 w14 w15 w16', 'b'), (3, 'w9 w10 w11 w12 w13 w14 w15 w17', 'b'), (4, 'w9 w10', 'b'), (5, NULL, 'b'), (6, 'a  b c d e f g h', 'c'), (7, 'a b c d e f g h', 'c')) v(doc_id, text, source)"
+    items = "SELECT * FROM (VALUES (1::BIGINT, 'so w9 w10 w11 w12 w13 w14 w15 w16'), (2, 'x a  b c d e F g'), (3, NULL), (4, 'short')) v(item_id, text)"
+    got, want = both(spark, tmp_path, "decontaminate", documents=rest, benchmark=items)
+    assert got == want == Counter({(3, "b"): 1, (4, "b"): 1, (5, "b"): 1, (7, "c"): 1})
+    duckdb.sql(f"copy (SELECT doc_id, string_agg('w' || (doc_id + k), ' ' ORDER BY k) AS text, 'a' AS source FROM range(5, 8000, 7000) d(doc_id), range(30000) t(k) GROUP BY 1) to '{tmp_path}/documents.parquet' (format parquet)")
+    begun = time.monotonic()
+    assert [r["doc_id"] for r in driver.queries()["decontaminate"](spark, str(tmp_path)).collect()] == [7005]
+    assert time.monotonic() - begun < 20
