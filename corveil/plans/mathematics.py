@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corveil.functions import mathexpr
 from corveil.operators import rewards
-from corveil.plans.catalog import query, table
+from corveil.plans.catalog import dealt, query, table
 
 
 def written(form: str, **parts: Column) -> Column:
@@ -29,7 +29,7 @@ NUMBERS = "SELECT o_orderkey, o_custkey AS a, o_orderkey % 97 + 1 AS b, o_orderk
 
 
 def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey as a", "o_orderkey % 97 + 1 as b", "o_orderkey % 11 - 5 as c", "o_custkey % 11 - 5 as d", "o_orderkey % 9 as k")
+    return dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").selectExpr("o_orderkey", "o_custkey as a", "o_orderkey % 97 + 1 as b", "o_orderkey % 11 - 5 as c", "o_custkey % 11 - 5 as d", "o_orderkey % 9 as k")
 
 
 def fraction_forms(**n: Column) -> list[Column]:

@@ -40,3 +40,8 @@ def test_runs_of_long_documents_are_cut_from_words_split_once(spark, tmp_path):
     begun = time.monotonic()
     assert [r["doc_id"] for r in driver.queries()["decontaminate"](spark, str(tmp_path)).collect()] == [7005]
     assert time.monotonic() - begun < 20
+
+
+def test_costly_rows_of_one_file_are_dealt_to_all_cores(spark):
+    for name in ("math_equality", "math_ratios", "math_identities"):
+        assert driver.queries()[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
